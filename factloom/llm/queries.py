@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import mixing, tokens
+from . import encoding, mixing, tokens
 from .sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -31,4 +31,14 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(sizes, targets), sizes, targets)
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold wrongly decoded characters."""
+    return encoding.wrongly_decoded(table(spark, d, "documents"), "doc_id", "text").select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The same documents with their text restored as far as possible, and the encoding pairs found."""
+    return encoding.wrongly_decoded(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p9_mix, p9_shares, p10_found, p10_restored)}

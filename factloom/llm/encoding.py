@@ -149,10 +149,12 @@ class Model:
         one = n.sum(axis=0)
         base = (one + 0.5) / (one.sum() + 0.5 * k)
         self.next = np.log((n + 4.0 * base) / (n.sum(axis=1, keepdims=True) + 4.0)).astype(np.float32)
-        # Frames may be drawn in any corpus, however few of them this one has.
+        # Frames may be drawn in any corpus, however few of them this one has; so it is for what is seen,
+        # not for what it is taken back to.
+        self.seen = self.next.copy()
         draw = np.flatnonzero([0x2500 <= ord(c or " ") <= 0x259F for c in alphabet()[1]])
         for a, b, least in ((draw[:, None], draw[None, :], -1.5), (0, draw, -4.0), (draw, 0, -1.0)):
-            self.next[a, b] = np.maximum(self.next[a, b], least)
+            self.seen[a, b] = np.maximum(self.seen[a, b], least)
         s = counts[k * k :].reshape(SHAPES, SHAPES).astype(np.float64) + 0.5
         self.shape = np.log(s / s.sum(axis=1, keepdims=True)).astype(np.float32)
 
@@ -205,15 +207,15 @@ class Scorer:
         np.cumsum([len(w) + 1 for w in words[:-1]], out=starts[1:])
         return n, starts
 
-    def _sums(self, n: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def _sums(self, n: np.ndarray, starts: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
         c, s = self.cls[n], self.shapes[n]
-        each = self.model.next[c[:-1], c[1:]] + self.model.shape[s[:-1], s[1:]]
+        each = (self.model.next if table is None else table)[c[:-1], c[1:]] + self.model.shape[s[:-1], s[1:]]
         return np.add.reduceat(each - UNKNOWN * (n[1:] == self.lost), starts)
 
     def score(self, words: list[str]) -> list[tuple]:
         """For each word its readings ((T, W), gain), the best first."""
         n, starts = self._numbers(words)
-        clean = self._sums(n, starts)
+        clean = self._sums(n, starts, self.model.seen)
         found: list[list] = [[] for _ in words]
         for pair, there, cost in zip(self.pairs, self.maps, self.costs):
             m = there[n]

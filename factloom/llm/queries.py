@@ -5,12 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import encoding, mixing, tokens
+from . import encoding, mixing, sources, tokens
 from .sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that are generated, minified, vendored or data."""
+    return sources.kinds_of(table(spark, d, "source_files")).select("file_id")
+
+
+def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """The same files with what they are."""
+    return sources.kinds_of(table(spark, d, "source_files"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that are not valid in the language of their extension."""
+    return sources.invalid_files(table(spark, d, "source_files")).where("invalid is not null").select("file_id").distinct()
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Invalid files per repository and language."""
+    return sources.rates(table(spark, d, "source_files"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Functions with non-trivial documentation."""
+    return sources.documented_functions(table(spark, d, "source_files")).select("file_id", "fn_line", "fn_name").distinct()
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The same functions with their documentation."""
+    return sources.documented_functions(table(spark, d, "source_files"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids of every document's text."""
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
@@ -41,4 +71,4 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.wrongly_decoded(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_mix, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_kinds, p4_found, p4_rates, p5_found, p5_pairs, p8_ids, p9_mix, p9_shares, p10_found, p10_restored)}

@@ -1,0 +1,356 @@
+import pytest
+
+from factloom.llm import docs, origin, sources, validity
+from factloom.llm.lexers import LEX, language_of
+
+VALID = {
+    "a.ts": """
+import def, { a as b, type C } from './x';
+export default class A<T extends object = {}> extends B<T> implements I, J {
+  private readonly x?: Map<string, Array<number>> = new Map();
+  static #y = 1; declare z: string
+  constructor(private a: number, public b = 2) { super(a) }
+  get v(): number { return this.#q ?? 0 }
+  async *gen<T>(@Inj() x: T, ...rest: unknown[]): AsyncGenerator<T> { yield* x; for await (const a of b) c(a) }
+  [key: string]: any;
+  abstract foo(): void
+}
+@Deco({ a: 1 }) export abstract class Q { m = (x: number): string => `a${x > 1 ? `b${x}` : 'c'}d` }
+type U = { readonly [K in keyof T]?: T[K] } | ((a: string) => void) | typeof x.y | `a${string}`
+interface I2 extends X<Y<Z>> { a: string; b?(c: number): void, new (x: string): I2 }
+enum E { A = 1, B = 'x', }
+declare module 'm' { export const q: number; }
+function isX(a: unknown): a is string { return (a as any)!.b satisfies string; }
+const re = /[{"(]a\\/+/.test(s) ? '{' : "'", f = <T,>(x: T) => x, g = async <T>(x: T): Promise<T> => { return x };
+label: for (let i = 0, n = 5; i < n >> 1; i++) { if (i >= 3) continue label; else break }
+if (a) b(); else if (c) d = e ? (f) : (g, h);
+export * as ns from 'y'; export { def as default, b }; export type { C } from './x'
+let o = { a, b: 1, 'c': 2, [d]: 3, async e() {}, get f() { return 1 }, set f(v) {}, ...g, *h() {} };
+try { x() } catch { y() } finally { z() }
+do x++; while (x < 5)
+""",
+    "a.js": """#!/usr/bin/env run
+!function(e,t){"use strict";var c0=function(q){for(var e=0,d=q.length;e<d;e++)q[e]=q[e]<<0;return q};if(!k){x={v:0,f:!0}}else x=void 0}(1,2)
+class A extends (B, C) { static { this.x = 1 } 'quoted'() {} 12() {} async = 1; get = 2; static async *[Symbol.iterator]() {} }
+const { a, b: [c = 1, ...d], ...rest } = e, fn = async x => await x, g = (a, { b } = {}) => ({ a, b })
+switch (x) { case 1: case 2: y(); break; default: z() }
+export const of = 1, async = 2
+var s = `line
+<<<<<<< ours
+${a}`, h = a / b / c, r = x ? /re/g : 1 / 2
+import('x').then(({ default: d }) => d?.a?.[0]?.(1))
+new.target
+""",
+    "a.cs": """
+#nullable enable
+using System; using static System.Math; global using X = System.Collections.Generic.List<int>;
+[assembly: Foo("x")]
+namespace A.B;
+#region r
+[Serializable, Obsolete("x", false)]
+public abstract partial class C<T, U> : Base<T>, IFoo where T : class, new() where U : struct
+{
+    private const int N = 0xFF; static readonly int[,] M = { { 1, 2 }, { 3, 4 } };
+    public string Name { get; private set; } = $"a{(x > 1 ? $"b{x:D2}" : "c")}d{{";
+    public int this[int i] => _a[i];
+    public event EventHandler<Args>? Changed;
+    public C(int a) : base(a) { }
+    ~C() { }
+    public static C<T, U> operator +(C<T, U> a, C<T, U> b) => a;
+    public static implicit operator int(C<T, U> a) => 1;
+    void IFoo.Bar<V>(ref V v, out int w, params object[] rest) { w = 1; }
+    public async Task<(int, string)> M2(int a = 5, string? b = null)
+    {
+        var (x, y) = await F(a: 1, out var z).ConfigureAwait(false);
+        var q = from i in list where i > 1 orderby i descending select new { i, i.Name };
+        if (o is string { Length: > 5 } s && o is not null or (int, int)) return (1, "a");
+        var r = o switch { 1 => "x", > 2 and < 5 when y => "z", _ => throw new Exception() };
+        foreach (var (k, v) in d) { goto end; }
+        using var f = new Foo { A = 1, [2] = 3 }; int[] arr = [1, ..other, 2]; var t = arr[^1..];
+        Func<int, Task> fn = static async (int p) => { await G(p); }; Action<int> h = delegate(int p) { };
+        for (int i = 0, j = 1; i < 5 && j >= 2; i++, j--) unchecked { a <<= 1; a = a >> 2; }
+        int Local(int n) => n <= 1 ? 1 : n * Local(n - 1);
+        try { lock (this) { } } catch (Exception e) when (e.X) { throw; } finally { }
+        string v1 = @"c:\\""q"" <<<<<<< HEAD", v2 = \"\"\"raw "x" \"\"\"; char ch = '\\''; List<List<int>> l = new();
+        p ??= (int?)x ?? default; var rec = r1 with { A = 2 }; end: return default;
+    }
+}
+#endregion
+record struct P(int X, int Y); delegate void D<in T>(T t); enum E : byte { A = 1, B }
+interface I { int P { get; } void M() => X(); }
+""",
+    "a.ex": '''
+defmodule A.B do
+  @moduledoc """
+  Doc "x" #{1 + 1}
+  """
+  use GenServer, restart: :temporary
+  alias A.{B, C}
+  import Kernel, except: [if: 2]
+  @type t :: %__MODULE__{a: integer() | nil, b: (integer -> atom)}
+  @spec f(integer(), String.t()) :: {:ok, t} | :error
+  defstruct [:a, b: 1]
+  def f(x, y \\\\ 1) when x > 0 and is_binary(y), do: {:ok, x}
+  def g(%{a: a} = m, [h | t]) do
+    with {:ok, x} <- f(a),
+         y = x + 1 do
+      x |> Enum.map(&(&1 * 2)) |> Enum.reduce(0, fn a, b -> a + b end)
+    else
+      {:error, _} = e -> e
+      _ -> nil
+    end
+    m = ?{
+    case m do
+      x when x in 1..5 -> ~s(a "do" b)
+      <<a::size(8), rest::binary>> -> "end #{inspect(x, pretty: true)} }"
+      _ ->
+        receive do
+          :x -> 1
+        after
+          10 -> 2
+        end
+    end
+    cond do
+      true -> raise ArgumentError, message: "x"
+    end
+    for x <- 1..20, rem(x, 2) == 0, into: %{}, do: {x, x * 2}
+    try do
+      Map.get(m, :a)[:b].c.(1)
+    rescue
+      e in RuntimeError -> reraise e, __STACKTRACE__
+    catch
+      :exit, _ -> nil
+    end
+    "a" <>
+      "b"
+    unless x, do: y, else: z
+    %{m | a: 1, "b" => 2}
+    not x and !y
+    quote do: unquote(x)
+    @limit
+  end
+  defp h?(_), do: if(true, do: 1)
+  defmacro m(do: block), do: block
+end
+''',
+}
+INVALID = {
+    "a.ts": ["const a = (1 + ;", "class A { foo( { } }", "let x: = 3;", "function f() { if (a) { }", "<<<<<<< HEAD\nlet a;\n=======\n>>>>>>> x\n", "let s = 'abc\n';", "/* open", "defmodule A do\nend", "{\n \"a\": 1,\n \"b\": 2\n}", "<!DOCTYPE html>\n<p>x</p>", "a b", "let t = `x ${1", "}"],
+    "a.js": ["const a: number = 1;", "function f(a: string) {}", "interface A { b: string }", "class A { private x = 1 }", "let a = b as string;", "enum E { A }", "function f<T>(x) {}"],
+    "a.cs": ["class A { void F() { }", "class A { int x = (3 * [4, 5; }", "class A { void F() { var s = \"never closed;\n } }", "import { a } from './b';", "class A { } }", "#!/bin/sh\nset -e", "namespace A { class B { int } }", "class A { void F() { /* left open } }", "public class A { <<<<<<< HEAD\n int a; }"],
+    "a.ex": ["defmodule A do\n def f(x) do\n x\nend", "defmodule A do\nend\nend", "def f(x), do: (1 +\nend", "x = [1, 2", "y = \"abc", "<!DOCTYPE html>", "if x do\n<<<<<<< HEAD\n1\n=======\nend", "%{a: 1", "using System;\npublic class A : B { }", "import os\n\ndef f(x):\n    return os.path.join(x, 'a')\n", "#!/bin/sh\nset -e\n"],
+}
+
+
+@pytest.mark.parametrize("path", VALID)
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+def test_valid(path, ends):
+    text = "﻿" + VALID[path].lstrip().replace("\n", ends)
+    tokens, wrong = validity.parse(text, language_of(path))
+    assert wrong is None, text[tokens.start[wrong[1]] - 60 : tokens.start[wrong[1]] + 40] if wrong[1] >= 0 else wrong
+
+
+@pytest.mark.parametrize("path,text", [(p, t) for p, ts in INVALID.items() for t in ts])
+def test_invalid(path, text):
+    assert sources.look(path, text, False, False)[2] is not None
+
+
+@pytest.mark.parametrize("path", VALID)
+def test_truncation_is_found(path):
+    text = VALID[path].lstrip()
+    tokens = LEX[language_of(path)](text)
+    brackets = [i for i, k in enumerate(tokens.kind) if k in ("{", "(", "do", "[")]
+    for i in brackets[:: max(1, len(brackets) // 25)]:
+        assert sources.look(path, text[: tokens.end[i]], False, False)[2] is not None, text[tokens.end[i] - 50 : tokens.end[i]]
+
+
+def test_awkward_contents():
+    for path in ("a.ts", "a.js", "a.cs", "a.ex"):
+        for text in ("", " \n", "\x00", "é" * 5000, "(" * 3000, "a" * 100_000, "'", '"', "`", "/", "#", "~", "?", ":", "@", "$\"{", "'''", "1e", "=begin"):
+            sources.look(path, text, True, True)
+    assert sources.look(None, "x", True, True)[0] is None and sources.look("noext", "x", True, True)[2] is None
+
+
+KINDS = [
+    ("a.cs", "// <auto-generated/>\nclass A { }", "generated"),
+    ("a.js", "/* eslint-disable */\n// Code generated by foo v1.2. DO NOT EDIT.\nlet a = 1;", "generated"),
+    ("a.ts", "// Diese Datei wurde automatisch erzeugt. Änderungen gehen verloren.\nlet a;", "generated"),
+    ("a.ex", "# Generated from a.proto by foo.\nx = 1", "generated"),
+    ("a.js", "/*! lib v1.2.3 | MIT */\nlet a;", "vendored"),
+    ("a.ts", "/*!\n * lib 1.0.0\n * (c) the lib contributors, MIT licence\n */\nlet a;", "vendored"),
+    ("a.js", "!function(e,t){" + "var a=e[t]<<0;if(!a){b={c:1}}else{d=void 0}" * 20 + "}(1,2)", "minified"),
+    ("a.ts", "export const a = [\n" + "1, 0x2f, -3.5,\n" * 40 + "];", "data"),
+    ("a.cs", 'class A { static readonly object[] X = {\n' + '"a-1",\n' * 60 + "}; }", "data"),
+    ("a.js", "export default " + '"QUJD" +\n' * 30 + '"x";', "data"),
+    ("a.ts", '// Writes the "DO NOT EDIT" banner that our code generator puts into its output.\nfunction f(a: number) { return a; }', None),
+    ("a.ts", "// Do not edit the list below without asking the depot first.\nlet a = 1;", None),
+    ("a.ts", "// The generated report is cached by the caller, see the notes.\nlet a = 1;", None),
+    ("a.js", "// NOTE: the minified bundle is served by another host.\nlet a = 1;", None),
+    ("a.cs", "// Copyright (c) Us authors. All rights reserved.\nclass A { }", None),
+    ("a.js", "export function f(a) {\n  return a;\n}\nconst weights = [" + "1, " * 60 + "];", None),
+    ("a.js", "let a = 1;\n// @generated by nobody\n", None),
+]
+
+
+@pytest.mark.parametrize("path,text,kind", KINDS)
+def test_kinds(path, text, kind):
+    assert origin.content_kind(path, text) == kind
+
+
+def test_attribute_files_and_paths(spark):
+    rows = [
+        (1, "r", ".gitattributes", "gen/** linguist-generated\n*.lib.js linguist-vendored=true\n# comment\nhand/vendor/** -linguist-vendored\n"),
+        (2, "r", "sub/.gitattributes", "*.lib.js -linguist-vendored\n"),
+        (3, "r", "gen/a.ts", "let a = 1;"),
+        (4, "r", "b.lib.js", "let a = 1;"),
+        (5, "r", "sub/b.lib.js", "let a = 1;"),
+        (6, "r", "hand/vendor/c.ts", "let a = 1;"),
+        (7, "q", "b.lib.js", "let a = 1;"),
+        (8, "q", "x/node_modules/y/z.js", "let a = 1;"),
+        (9, "q", "src/vendors/z.js", "let a = 1;"),
+        (10, "q", "Src\\A.Designer.cs", "class A { }"),
+        (11, "q", "a.cs", None),
+        (12, None, None, None),
+        (13, "q", "e.js", ""),
+    ]
+    rows += rows[:4]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "file_id bigint, repo_id string, path string, content string, kind string")
+    got = {r.file_id: r.kind for r in sources.kinds_of(df).collect()}
+    assert got == {3: "generated", 4: "vendored", 8: "vendored", 10: "generated"}
+
+
+def test_mined_patterns(spark):
+    rows = [(i, f"r{i % 5}", f"src/weird/m{i}.ts", "generated" if i % 20 else None) for i in range(60)]
+    rows += [(100 + i, f"r{i % 5}", f"src/plain/m{i}.ts", "generated" if i % 3 == 0 else None) for i in range(60)]
+    df = spark.createDataFrame([(*r, None) for r in rows], "file_id bigint, repo_id string, path string, evidence string, content string")
+    assert [tuple(r) for r in origin.mined_patterns(df).collect()] == [("dir:weird", "generated")]
+    assert {r.file_id for r in origin.not_handwritten(df).collect()} == set(range(60)) | set(range(100, 160, 3))
+
+
+def found(path, text):
+    language = language_of(path)
+    return [(a, b) for a, b, _ in docs.documented(text, language, LEX[language](text))]
+
+
+def test_documented_functions():
+    ts = """/**
+ * Shop tools. Copyright Shop authors.
+ */
+import { a } from './a';
+
+/** Chooses the open cargo of a permit. */
+// eslint-disable-next-line complexity
+export async function chooseCargo<T>(a: number): Promise<string> {
+  const fake = '/** Not documentation */ function ghost() {';
+  return pick(a);
+}
+
+/** Choose the cargo. */
+function chooseCargo2(a) { }
+
+/** Keeps the greatest number of things. */
+const limit = 3;
+/**
+ * Combines what arrives first.
+ * @param b the thing
+ */
+export const combine =
+  async (b: { id: number }): Promise<{ id: number }> => { return b; };
+/* Not documentation. */
+const plain = function () { };
+/** TODO: document this
+ * @param {number} x */
+const todo = (x) => x;
+/** Holds everything that is open. */
+export class A<T> extends B {
+  /** Limits what may be held. */
+  private limit = 85;
+  /**
+   *
+   * @param {number} a
+   */
+  private static first(a: number) { }
+  /** Walks the parcels in the order of arrival. */
+  @Memo({ size: 4 })
+  protected static async second(a: number, b: string): Promise<void> { }
+}
+"""
+    assert found("a.ts", ts) == [(8, "chooseCargo"), (22, "combine"), (40, "second")]
+    cs = """namespace N {
+    /// <summary>Holds what is open.</summary>
+    public class A : B {
+        /// <summary>Names the thing shown.</summary>
+        public string Label { get; set; } = "{x";
+        /// <summary>
+        /// Rejects the open <see cref="Locker"/> of a week.
+        /// </summary>
+        /// <param name="a">The a.</param>
+        // ReSharper disable once All
+        [Fact]
+        protected override (int, string)
+            RejectIt<T>(int a, Dictionary<string, int> b) where T : class
+        { _log.Write("x"); return Pick(a); }
+        /// <inheritdoc />
+        public int Second(int a) => 1;
+        /// <summary>  </summary>
+        /// <remarks>Returns nothing while the harvest lasts.</remarks>
+        internal Dictionary<string, int> Third(int a) => Pick(a);
+        /** <summary>
+         *  Rejects the inner signal.
+         *  </summary> */
+        public static async Task<List<int>> Fourth() { }
+        /// <summary>Gets n/a.</summary>
+        /// <summary>n/a</summary>
+        public int Get(int a) => 1;
+        /// <summary>n/a</summary>
+        public int Sixth(int a) => 1;
+    }
+}
+"""
+    assert found("a.cs", cs)[:3] == [(13, "RejectIt"), (19, "Third"), (23, "Fourth")] and "Sixth" not in str(found("a.cs", cs))
+    ex = '''defmodule A do
+  @moduledoc "Walks it all."
+  @doc """
+  Orders the pending window.
+
+  ## Examples
+
+      iex> f(1, "do")
+  """
+  @spec f(integer(), String.t()) :: integer()
+  def f(0, _), do: 1
+  def f(a, b) when a > 0 do
+    a
+  end
+  @doc false
+  def g(a), do: a
+  @doc since: "1.4.0"
+  def h(a), do: a
+  @doc ~s(Copies the raw meter twice.)
+  @doc since: "1.4.0"
+  # credo:disable-for-next-line
+  def i?(a), do: a
+  @doc "The j method."
+  def j(a), do: a
+  @doc """
+  """
+  def k(a), do: a
+end
+'''
+    assert found("a.ex", ex) == [(11, "f"), (22, "i?")]
+
+
+def test_assignment_takes_the_nearest_and_uses_each_once():
+    text = "/** Counts what is lost. */\n/** Sums up what is left. */\nfunction total(a) { }\nfunction other(a) { }\n"
+    assert [(b, c) for _, b, c in docs.documented(text, "javascript", LEX["javascript"](text))] == [("total", "Sums up what is left.")]
+
+
+def test_dataframes(spark):
+    ok = "/** Counts the open things. */\nexport function f(a) {\n  return a;\n}\n"
+    rows = [(1, "r", "a.js", ok), (1, "r", "a.js", ok), (2, "r", "vendor/a.js", ok), (3, "r", "b.js", ok + "}"), (4, "r", "c.js", None), (5, "r", "d.js", ""), (None, None, None, None), (6, "r", "e.txt", ok)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "file_id bigint, repo_id string, path string, content string, language string")
+    assert [tuple(r) for r in sources.documented_functions(df).select("file_id", "fn_line", "fn_name").collect()] == [(1, 2, "f")]
+    assert {r.file_id for r in sources.invalid_files(df).where("invalid is not null").collect()} == {3}
+    assert [tuple(r) for r in sources.rates(df).collect()] == [("r", "javascript", 3, 1, 0.333333)]
+    none = df.limit(0)
+    assert sources.documented_functions(none).collect() == sources.kinds_of(none).collect() == sources.rates(none).collect() == []

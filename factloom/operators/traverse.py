@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +75,13 @@ def traverse(edges: DataFrame, seeds: DataFrame, direction: str = "Outgoing", ki
     stats = cut(visited.select("seed", F.lit(1).cast("bigint").alias("nodes"), zero.alias("edges"), F.lit(0).alias("flags"), zero.alias("nodes_examined"), zero.alias("edges_examined"), zero.alias("omitted"), F.lit(0).alias("depth_reached"), F.lit(False).alias("stopped")))
     frontier = visited.select("seed", "repo_id", "node", F.col("ord").alias("pos"))
     here: Column = F.struct("pos", "a")
+    held: list[DataFrame] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        """Kept for this level only; what is lost with an executor is computed again from the last cut."""
+        held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return held[-1]
+
     for depth in range(max_depth + 1):
         at = frontier.join(stats.where("not stopped").select("seed"), "seed")
         if depth == max_depth:
@@ -87,17 +95,17 @@ def traverse(edges: DataFrame, seeds: DataFrame, direction: str = "Outgoing", ki
             break
         rows = at.join(adj, ["repo_id", "node"]).select("seed", "repo_id", "pos", "a", "neighbour", "edge_id")
         rows = rows.join(visited.select("seed", "repo_id", F.col("node").alias("neighbour"), F.lit(True).alias("old")), ["seed", "repo_id", "neighbour"], "left")
-        rows = cut(rows.join(kept.select("seed", "edge_id", F.lit(True).alias("had")), ["seed", "edge_id"], "left").withColumns({"old": F.coalesce("old", F.lit(False)), "had": F.coalesce("had", F.lit(False))}))
+        rows = hold(rows.join(kept.select("seed", "edge_id", F.lit(True).alias("had")), ["seed", "edge_id"], "left").withColumns({"old": F.coalesce("old", F.lit(False)), "had": F.coalesce("had", F.lit(False))}))
         first = Window.partitionBy("seed").orderBy("first")
         # Neighbours that still fit into the node budget.
         fresh = rows.where("not old").groupBy("seed", "repo_id", "neighbour").agg(F.min(here).alias("first"))
         fresh = fresh.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= max_nodes)
-        accepted = cut(fresh.join(stats.select("seed", "nodes"), "seed").where(F.col("rn") <= max_nodes - F.col("nodes")).select("seed", "repo_id", "neighbour", "first", "rn"))
-        rows = cut(rows.join(accepted.select("seed", "repo_id", "neighbour", F.lit(True).alias("fits")), ["seed", "repo_id", "neighbour"], "left").withColumn("lost", ~F.col("old") & F.col("fits").isNull()).drop("fits"))
+        accepted = hold(fresh.join(stats.select("seed", "nodes"), "seed").where(F.col("rn") <= max_nodes - F.col("nodes")).select("seed", "repo_id", "neighbour", "first", "rn"))
+        rows = hold(rows.join(accepted.select("seed", "repo_id", "neighbour", F.lit(True).alias("fits")), ["seed", "repo_id", "neighbour"], "left").withColumn("lost", ~F.col("old") & F.col("fits").isNull()).drop("fits"))
         # New edges, in order; the one beyond the edge budget is where the walk breaks off.
         news = rows.where("not lost and not had").groupBy("seed", "edge_id").agg(F.min(here).alias("first"))
         news = news.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= max_edges + 1)
-        news = cut(news.join(stats.select("seed", "edges", "flags"), "seed").withColumn("room", max_edges - F.col("edges")).where(F.col("rn") <= F.col("room") + 1))
+        news = hold(news.join(stats.select("seed", "edges", "flags"), "seed").withColumn("room", max_edges - F.col("edges")).where(F.col("rn") <= F.col("room") + 1))
         # Where the walk of a seed ends: at the row that is cut off, or behind the first node at whose
         # end all edges are spent and something was left out before.
         marks = news.groupBy("seed").agg(F.min(F.when(F.col("rn") == F.col("room") + 1, F.col("first"))).alias("cut"), F.min(F.when(F.col("rn") == F.col("room"), F.col("first.pos"))).alias("spent"))
@@ -109,7 +117,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, direction: str = "Outgoing", ki
         quiet = F.when(spent.isNotNull() & ((F.col("flags") > 0) | F.col("lost_pos").isNotNull()), quiet)
         # A quiet end that lies before the cut-off row comes first.
         cut_first = F.col("cut").isNotNull() & (quiet.isNull() | (F.col("cut.pos") <= quiet))
-        ends = cut(ends.select("seed", F.when(cut_first, F.col("cut.pos")).otherwise(quiet).alias("stop_pos"), F.when(cut_first, F.col("cut")).alias("cut_at")))
+        ends = hold(ends.select("seed", F.when(cut_first, F.col("cut.pos")).otherwise(quiet).alias("stop_pos"), F.when(cut_first, F.col("cut")).alias("cut_at")))
         inside = F.col("stop_pos").isNull() | (F.col("pos") < F.col("stop_pos")) | ((F.col("pos") == F.col("stop_pos")) & (F.col("cut_at").isNull() | (here <= F.col("cut_at"))))
         seen = rows.join(ends, "seed").where(inside).groupBy("seed").agg(F.count("*").alias("e"), F.sum(F.col("lost").cast("bigint")).alias("l"))
         nodes_seen = at.join(ends, "seed").where(F.col("stop_pos").isNull() | (F.col("pos") <= F.col("stop_pos"))).groupBy("seed").agg(F.count("*").alias("n"))
@@ -126,6 +134,8 @@ def traverse(edges: DataFrame, seeds: DataFrame, direction: str = "Outgoing", ki
         add = lambda c, d: (F.col(c) + F.coalesce(d, zero)).alias(c)
         flags = F.col("flags").bitwiseOR(F.when(F.col("l") > 0, F.lit(MAX_NODES)).otherwise(0)).bitwiseOR(F.when(F.col("cut_at").isNotNull(), F.lit(MAX_EDGES)).otherwise(0))
         stats = cut(counts.select("seed", add("nodes", "nn"), add("edges", "ne"), flags.alias("flags"), add("nodes_examined", "n"), add("edges_examined", "e"), add("omitted", "l"), F.when(F.col("n") > 0, F.lit(depth)).otherwise(F.col("depth_reached")).alias("depth_reached"), (F.col("stopped") | F.col("stop_pos").isNotNull()).alias("stopped")))
+        while held:
+            held.pop().unpersist()
         frontier = new_nodes.select("seed", "repo_id", "node", F.col("ord").alias("pos"))
         if frontier.isEmpty():
             break

@@ -64,7 +64,136 @@ plan AS (
   FROM cur c FULL JOIN was w ON c.repo_id = w.repo_id AND c.plugin_id = w.plugin_id AND c.path = w.path)
 """
 
-ORACLES = {
+_LIVE = """
+ln AS (SELECT * FROM nodes WHERE deleted_at IS NULL),
+n1 AS (SELECT DISTINCT repo_id, node_id, plugin_id, unit_id, kind, name, qualified_name, symbol_id, language, access, properties FROM ln WHERE node_id IS NOT NULL),
+nm AS (
+  SELECT a.repo_id, a.node_id, a.kind, a.name, a.qualified_name, a.symbol_id, a.language, a.access, a.properties, b.contributors, b.conflict
+  FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, node_id ORDER BY plugin_id, unit_id, kind, name, qualified_name NULLS FIRST, symbol_id NULLS FIRST, language NULLS FIRST, access NULLS FIRST, properties NULLS FIRST) AS rn FROM n1) a
+  JOIN (SELECT repo_id, node_id, count(DISTINCT (plugin_id, unit_id)) AS contributors, count(DISTINCT (kind, name, qualified_name, symbol_id, language, access, properties)) > 1 AS conflict FROM n1 GROUP BY ALL) b
+    ON a.repo_id = b.repo_id AND a.node_id = b.node_id WHERE a.rn = 1),
+e1 AS (SELECT DISTINCT repo_id, edge_id, plugin_id, unit_id, source_id, target_id, kind, ev_quality, ev_provider, ev_provider_version, ev_location, ev_confidence FROM edges WHERE edge_id IS NOT NULL),
+em AS (
+  SELECT a.repo_id, a.edge_id, a.source_id, a.target_id, a.kind, a.ev_quality, a.ev_location, b.contributors, b.conflict
+  FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, edge_id ORDER BY plugin_id, unit_id, source_id, target_id NULLS FIRST, kind, ev_quality, ev_provider, ev_provider_version NULLS FIRST) AS rn FROM e1) a
+  JOIN (SELECT repo_id, edge_id, count(DISTINCT (plugin_id, unit_id)) AS contributors, count(DISTINCT (source_id, target_id, kind, ev_quality, ev_provider, ev_provider_version, ev_location, ev_confidence)) > 1 AS conflict FROM e1 GROUP BY ALL) b
+    ON a.repo_id = b.repo_id AND a.edge_id = b.edge_id WHERE a.rn = 1),
+d1 AS (SELECT DISTINCT repo_id, declaration_id, plugin_id, unit_id, symbol_id, symbol_node_id, path, start_line, start_col, end_line, end_col, properties FROM declarations WHERE declaration_id IS NOT NULL),
+dm AS (
+  SELECT a.repo_id, a.declaration_id, a.symbol_id, a.symbol_node_id, a.path, a.start_line, a.start_col, a.end_line, a.end_col, b.contributors, b.conflict
+  FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, declaration_id ORDER BY plugin_id, unit_id, symbol_id, symbol_node_id, path, start_line, start_col, end_line, end_col, properties NULLS FIRST) AS rn FROM d1) a
+  JOIN (SELECT repo_id, declaration_id, count(DISTINCT (plugin_id, unit_id)) AS contributors, count(DISTINCT (symbol_id, symbol_node_id, path, start_line, start_col, end_line, end_col, properties)) > 1 AS conflict FROM d1 GROUP BY ALL) b
+    ON a.repo_id = b.repo_id AND a.declaration_id = b.declaration_id WHERE a.rn = 1)
+"""
+
+_PRESETS = {
+    "callers": ("'calls'", True),
+    "callees": ("'calls'", False),
+    "references": ("'references'", True),
+    "implementations": ("'implements', 'inherits'", True),
+    "dependencies": ("'depends-on'", False),
+    "dependents": ("'depends-on'", True),
+}
+
+_NEIGHBOURS = {
+    name: f"""WITH {_LIVE} SELECT DISTINCT repo_id, {'target_id' if back else 'source_id'} AS node_id, {'source_id' if back else 'target_id'} AS neighbour_id, kind, edge_id
+        FROM em WHERE kind IN ({kinds}) AND source_id IS NOT NULL AND target_id IS NOT NULL"""
+    for name, (kinds, back) in _PRESETS.items()
+}
+
+_GRAPH = {
+    "merge_nodes": f"WITH {_LIVE} SELECT repo_id, node_id, kind, name, qualified_name, symbol_id, contributors, conflict FROM nm",
+    "merge_edges": f"WITH {_LIVE} SELECT repo_id, edge_id, source_id, target_id, kind, ev_quality, contributors, conflict FROM em",
+    "merge_declarations": f"WITH {_LIVE} SELECT repo_id, declaration_id, symbol_id, path, start_line, contributors, conflict FROM dm",
+    "provenance_nodes": "SELECT DISTINCT repo_id, 'node' AS fact_kind, node_id AS fact_id, plugin_id, unit_id FROM nodes WHERE deleted_at IS NULL",
+    "violations": f"""WITH {_LIVE},
+        v AS (
+          SELECT repo_id, 'replacement.node.duplicate' AS code, node_id AS id FROM n1 GROUP BY repo_id, plugin_id, unit_id, node_id HAVING count(*) > 1
+          UNION ALL SELECT repo_id, 'replacement.edge.duplicate', edge_id FROM e1 GROUP BY repo_id, plugin_id, unit_id, edge_id HAVING count(*) > 1
+          UNION ALL SELECT repo_id, 'replacement.declaration.duplicate', declaration_id FROM d1 GROUP BY repo_id, plugin_id, unit_id, declaration_id HAVING count(*) > 1
+          UNION ALL SELECT repo_id, 'graph.node.conflict', node_id FROM nm WHERE conflict
+          UNION ALL SELECT repo_id, 'graph.edge.conflict', edge_id FROM em WHERE conflict
+          UNION ALL SELECT repo_id, 'graph.declaration.conflict', declaration_id FROM dm WHERE conflict
+          UNION ALL SELECT repo_id, 'graph.symbol.duplicate', symbol_id FROM ln WHERE symbol_id IS NOT NULL GROUP BY repo_id, symbol_id HAVING count(DISTINCT node_id) > 1
+          UNION ALL SELECT d.repo_id, 'graph.declaration.symbol-missing', declaration_id FROM declarations d
+            WHERE NOT EXISTS (SELECT 1 FROM ln n WHERE n.repo_id = d.repo_id AND n.node_id = d.symbol_node_id AND n.symbol_id = d.symbol_id)
+          UNION ALL SELECT e.repo_id, 'graph.edge.endpoint-missing', edge_id FROM edges e
+            WHERE NOT EXISTS (SELECT 1 FROM ln n WHERE n.repo_id = e.repo_id AND n.node_id = e.source_id) OR NOT EXISTS (SELECT 1 FROM ln n WHERE n.repo_id = e.repo_id AND n.node_id = e.target_id)
+          UNION ALL SELECT repo_id, 'edge.evidence.invalid', edge_id FROM edges WHERE ev_quality NOT IN ('Structural', 'Resolved', 'Derived', 'Inferred') OR ev_confidence IS NOT NULL AND (ev_quality <> 'Inferred' OR ev_confidence NOT BETWEEN 0 AND 1)
+          UNION ALL SELECT repo_id, 'edge.evidence.calls-requires-resolved', edge_id FROM edges WHERE kind = 'calls' AND ev_quality <> 'Resolved')
+        SELECT repo_id, code, count(DISTINCT id) AS n FROM v GROUP BY ALL""",
+    "violations_first": f"""WITH {_LIVE} SELECT repo_id, fact_id FROM (
+          SELECT DISTINCT e.repo_id, edge_id AS fact_id FROM edges e
+          WHERE NOT EXISTS (SELECT 1 FROM ln n WHERE n.repo_id = e.repo_id AND n.node_id = e.source_id) OR NOT EXISTS (SELECT 1 FROM ln n WHERE n.repo_id = e.repo_id AND n.node_id = e.target_id))
+        ORDER BY fact_id, repo_id LIMIT 100""",
+    "symbol_batch": f"WITH {_LIVE} SELECT qualified_name AS name, repo_id, node_id, count(*) OVER (PARTITION BY qualified_name) AS candidates FROM nm WHERE qualified_name IS NOT NULL AND trim(qualified_name) <> ''",
+    "symbol_by_id": f"WITH {_LIVE} SELECT repo_id, symbol_id, min(node_id) AS node_id FROM nm WHERE symbol_id IS NOT NULL GROUP BY ALL",
+    "name_pattern_topk": f"WITH {_LIVE} SELECT repo_id, node_id, qualified_name, name FROM nm WHERE contains(lower(qualified_name), 'ledger') OR contains(lower(name), 'ledger') ORDER BY qualified_name NULLS FIRST, node_id, repo_id LIMIT 50",
+    "name_pattern_total": f"WITH {_LIVE}, t AS (SELECT count(*) AS total FROM nm WHERE contains(lower(qualified_name), 'ledger') OR contains(lower(name), 'ledger')) SELECT total, least(total, 50) AS returned, total > 50 AS truncated FROM t",
+    "discovery_unscoped": f"WITH {_LIVE} SELECT repo_id, node_id, qualified_name FROM nm WHERE (contains(lower(qualified_name), 'meter') OR contains(lower(name), 'meter')) AND kind = 'callable' AND language IN ('csharp', 'typescript')",
+    "declarations_of_symbol": f"WITH {_LIVE} SELECT repo_id, symbol_id, declaration_id, row_number() OVER (PARTITION BY repo_id, symbol_id ORDER BY path, start_line, start_col, declaration_id) AS ord FROM dm",
+    "declarations_in_file": f"""WITH {_LIVE},
+        f AS (SELECT repo_id, qualified_name AS path, min(node_id) AS node_id FROM nm WHERE kind = 'file' AND qualified_name IS NOT NULL GROUP BY ALL),
+        s AS (SELECT DISTINCT f.repo_id, f.path, n.symbol_id FROM f JOIN em e ON e.repo_id = f.repo_id AND e.source_id = f.node_id AND e.kind = 'declares'
+          JOIN nm n ON n.repo_id = e.repo_id AND n.node_id = e.target_id WHERE n.symbol_id IS NOT NULL)
+        SELECT d.repo_id, d.path, d.declaration_id, d.symbol_id, row_number() OVER (PARTITION BY d.repo_id, d.path ORDER BY start_line, start_col, declaration_id) AS ord
+        FROM dm d SEMI JOIN s ON s.repo_id = d.repo_id AND s.path = d.path AND s.symbol_id = d.symbol_id""",
+    "enclosing_symbol": f"""WITH {_LIVE},
+        p AS (SELECT DISTINCT repo_id, ev_location.path AS path, ev_location.start_line AS line, ev_location.start_col AS col FROM edges WHERE ev_location IS NOT NULL),
+        j AS (SELECT p.*, d.declaration_id, d.symbol_id, d.symbol_node_id, row_number() OVER (PARTITION BY p.repo_id, p.path, p.line, p.col
+            ORDER BY (end_line - start_line)::BIGINT * 1000000 + (end_col - start_col) NULLS LAST, start_line DESC, start_col DESC, declaration_id) AS rn
+          FROM p LEFT JOIN dm d ON d.repo_id = p.repo_id AND d.path = p.path AND d.end_line >= d.start_line AND (p.line, p.col) >= (d.start_line, d.start_col) AND (p.line, p.col) < (d.end_line, d.end_col))
+        SELECT repo_id, path, line, col, declaration_id, symbol_id, symbol_node_id FROM j WHERE rn = 1""",
+    "neighborhood": f"""WITH {_LIVE}, x AS (SELECT repo_id, source_id AS node_id, edge_id FROM em WHERE target_id IS NOT NULL AND source_id IS NOT NULL UNION ALL SELECT repo_id, target_id, edge_id FROM em WHERE target_id IS NOT NULL AND source_id IS NOT NULL)
+        SELECT repo_id, node_id, count(DISTINCT edge_id) AS n_edges FROM x GROUP BY ALL""",
+    "impact_d2": f"""WITH RECURSIVE {_LIVE},
+        walk AS (SELECT repo_id || '|' || node_id AS seed, repo_id, node_id, 0 AS depth FROM nm WHERE kind = 'package'
+          UNION SELECT w.seed, w.repo_id, e.source_id, w.depth + 1 FROM walk w JOIN em e ON e.repo_id = w.repo_id AND e.target_id = w.node_id
+          WHERE w.depth < 2 AND e.source_id IS NOT NULL AND e.kind IN ('references', 'calls', 'implements', 'inherits', 'depends-on'))
+        SELECT seed, node_id, min(depth) AS depth FROM walk GROUP BY ALL""",
+    "symbols_in_project": f"""WITH RECURSIVE {_LIVE},
+        walk AS (SELECT node_id AS root_id, repo_id, node_id, 0 AS depth FROM nm WHERE kind = 'project'
+          UNION SELECT w.root_id, w.repo_id, e.target_id, w.depth + 1 FROM walk w JOIN em e ON e.repo_id = w.repo_id AND e.source_id = w.node_id
+          WHERE w.depth < 3 AND e.target_id IS NOT NULL AND e.kind IN ('contains', 'declares'))
+        SELECT w.root_id, w.repo_id, w.node_id, min(w.depth) AS depth FROM walk w JOIN nm n ON n.repo_id = w.repo_id AND n.node_id = w.node_id
+        WHERE w.node_id <> w.root_id AND n.symbol_id IS NOT NULL GROUP BY ALL""",
+    "public_surface": f"""WITH RECURSIVE {_LIVE},
+        walk AS (SELECT node_id AS root_id, repo_id, node_id, 0 AS depth FROM nm WHERE kind = 'project'
+          UNION SELECT w.root_id, w.repo_id, e.target_id, w.depth + 1 FROM walk w JOIN em e ON e.repo_id = w.repo_id AND e.source_id = w.node_id
+          WHERE w.depth < 10 AND e.target_id IS NOT NULL AND e.kind IN ('contains', 'declares')),
+        r AS (SELECT DISTINCT root_id, repo_id, node_id FROM walk)
+        SELECT r.root_id, r.repo_id, r.node_id, row_number() OVER (PARTITION BY r.repo_id, r.root_id ORDER BY coalesce(n.qualified_name, n.name), r.node_id) AS ord
+        FROM r JOIN nm n ON n.repo_id = r.repo_id AND n.node_id = r.node_id WHERE n.access = 'public' AND n.kind NOT IN ('project', 'file')""",
+    "exercised_by": f"""WITH {_LIVE} SELECT DISTINCT e.repo_id, e.target_id AS source_id, e.source_id AS target_id FROM em e JOIN nm n ON n.repo_id = e.repo_id AND n.node_id = e.source_id
+        WHERE e.kind = 'calls' AND e.target_id IS NOT NULL AND json_extract_string(n.properties, '$."test-method"') = 'true'""",
+    "documentation_merge": f"""WITH {_LIVE}, x AS (SELECT DISTINCT repo_id, symbol_id, json_extract_string(properties, '$."doc-summary"') AS doc FROM ln WHERE symbol_id IS NOT NULL)
+        SELECT repo_id, symbol_id, left(string_agg(doc, chr(10) || chr(10) ORDER BY doc), 2048) AS doc FROM x WHERE doc IS NOT NULL AND trim(doc) <> '' GROUP BY ALL""",
+    "coverage_rollup": f"""WITH {_LIVE}, e AS (SELECT DISTINCT repo_id, plugin_id, unit_id, edge_id, kind, target_id FROM edges),
+        j AS (SELECT e.*, EXISTS (SELECT 1 FROM ln n WHERE n.repo_id = e.repo_id AND n.plugin_id = e.plugin_id AND n.unit_id = e.unit_id AND n.node_id = e.target_id) AS own,
+          EXISTS (SELECT 1 FROM ln n WHERE n.repo_id = e.repo_id AND n.node_id = e.target_id) AS known FROM e)
+        SELECT repo_id, plugin_id, kind, count(*) AS emitted, count(*) FILTER (own) AS internal, count(*) FILTER (NOT own AND known) AS cross_project, count(*) FILTER (NOT known) AS unresolved
+        FROM j GROUP BY ROLLUP (repo_id, plugin_id, kind) HAVING repo_id IS NOT NULL""",
+    "source_freshness": f"""WITH {_PLAN}, c AS (SELECT repo_id, count(*) FILTER (change = 'New') AS n, count(*) FILTER (change = 'Changed') AS ch, count(*) FILTER (change = 'Unchanged') AS u, count(*) FILTER (change = 'Deleted') AS de FROM plan GROUP BY ALL)
+        SELECT c.repo_id, CASE WHEN l.repo_id IS NULL THEN 'Unknown' WHEN n + ch + de = 0 THEN 'Fresh' ELSE 'Stale' END AS state, n AS "new", ch AS changed, u AS unchanged, de AS deleted FROM c LEFT JOIN lastrun l ON l.repo_id = c.repo_id""",
+    "index_identities": r"""WITH s AS (SELECT DISTINCT repo_id, run_id, is_consistent, snapshot_identity, sources FROM index_states),
+        x AS (SELECT repo_id, run_id, is_consistent, snapshot_identity, list_sort(list_transform(sources, lambda a: {'p': a.plugin_id, 'q': a.path, 'v': a.plugin_version, 'h': a.hash})) AS o FROM s)
+        SELECT DISTINCT repo_id, run_id, sha256(repo_id || chr(10) || CASE WHEN is_consistent THEN 'True' ELSE 'False' END || chr(10) || coalesce(snapshot_identity, '') || chr(10)
+          || coalesce(array_to_string(list_transform(o, lambda a: a.p || chr(9) || a.v || chr(9) || a.q || chr(9) || a.h || chr(10)), ''), '')) AS identity FROM x""",
+    "log_fold": "SELECT repo_id, run_id, max(seq) AS seq, arg_max(kind, seq) AS kind, arg_max(run_status, seq) AS run_status FROM command_log WHERE kind IN ('run', 'complete') GROUP BY ALL",
+    "unit_overlay": """SELECT DISTINCT repo_id, plugin_id, unit_id FROM units u WHERE NOT EXISTS (
+        SELECT 1 FROM units b JOIN runs r ON r.repo_id = b.repo_id AND r.run_id = b.run_id WHERE r.status IN ('Failed', 'Cancelled') AND b.repo_id = u.repo_id AND b.plugin_id = u.plugin_id AND b.unit_id = u.unit_id)""",
+    "obsolete_units": f"""WITH {_PUBLISHED}, final AS (SELECT repo_id, plugin_id, unit_id, arg_max(kind, w_at) AS kind FROM acting GROUP BY ALL)
+        SELECT repo_id, plugin_id, unit_id FROM final f WHERE kind LIKE '%replace' AND NOT EXISTS (SELECT 1 FROM units u WHERE u.repo_id = f.repo_id AND u.plugin_id = f.plugin_id AND u.unit_id = f.unit_id)""",
+    "run_diagnostics": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY repo_id, run_id ORDER BY status <> 'Running' DESC, completed_at DESC NULLS LAST) AS rn FROM runs),
+        a AS (SELECT repo_id, count(*) AS n_runs, sum(coalesce(unresolved_relationships, 0))::BIGINT AS unresolved_relationships, sum(coalesce(unresolved_targets, 0))::BIGINT AS unresolved_targets, sum(coalesce(changed_count, 0))::BIGINT AS changed_count FROM l WHERE rn = 1 GROUP BY ALL),
+        w AS (SELECT repo_id, string_agg(c, ',' ORDER BY c) AS warning_codes FROM (SELECT DISTINCT repo_id, unnest(warning_codes) AS c FROM l WHERE rn = 1) GROUP BY ALL)
+        SELECT a.*, coalesce(w.warning_codes, '') AS warning_codes FROM a LEFT JOIN w ON w.repo_id = a.repo_id""",
+    "health": """WITH r AS (SELECT repo_id FROM units UNION SELECT repo_id FROM nodes UNION SELECT repo_id FROM declarations UNION SELECT repo_id FROM edges)
+        SELECT repo_id, (SELECT count(DISTINCT (plugin_id, unit_id)) FROM units x WHERE x.repo_id = r.repo_id) AS units, (SELECT count(DISTINCT node_id) FROM nodes x WHERE x.repo_id = r.repo_id) AS nodes,
+          (SELECT count(DISTINCT declaration_id) FROM declarations x WHERE x.repo_id = r.repo_id) AS declarations, (SELECT count(DISTINCT edge_id) FROM edges x WHERE x.repo_id = r.repo_id) AS edges FROM r""",
+} | _NEIGHBOURS
+
+ORACLES = _GRAPH | {
     "p1_found": f"WITH {_ORPHANS} SELECT DISTINCT ref_table, ref_column, repo_id, ref_id FROM orphan",
     "p1_counts": f"""WITH {_ORPHANS},
         a AS (SELECT ref_table, ref_column, repo_id, ref_id, min(w_at) AS w_at FROM refs WHERE key IS NOT NULL GROUP BY ALL),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators import changes, hierarchy, lookup, merge, orphans, planner, replay, resolve
 from .session import cut, scratch, table
+from .sources import extract
 
 
 def _orphan_state(spark: SparkSession, d: str) -> orphans.OrphanState:
@@ -276,5 +277,11 @@ def module_resolution(spark: SparkSession, d: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-OWN = (merge_nodes, merge_edges, merge_declarations, provenance_nodes, violations, violations_first, symbol_batch, symbol_by_id, name_pattern_topk, name_pattern_total, discovery_unscoped, declarations_of_symbol, declarations_in_file, enclosing_symbol, *map(_preset, lookup.PRESETS), neighborhood, impact_d2, impact_budgeted, affected_tests, symbols_in_project, public_surface, exercised_by, documentation_merge, coverage_rollup, source_freshness, index_identities, log_fold, unit_overlay, obsolete_units, run_diagnostics, health, module_resolution)
+def extract_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts read from all sources, counted by repository, fact and kind."""
+    rows = extract.facts(table(spark, d, "source_files").where("content is not null"))
+    return rows.groupBy("repo_id", "fact", "kind").agg(F.count("*").alias("n"))
+
+
+OWN = (merge_nodes, merge_edges, merge_declarations, provenance_nodes, violations, violations_first, symbol_batch, symbol_by_id, name_pattern_topk, name_pattern_total, discovery_unscoped, declarations_of_symbol, declarations_in_file, enclosing_symbol, *map(_preset, lookup.PRESETS), neighborhood, impact_d2, impact_budgeted, affected_tests, symbols_in_project, public_surface, exercised_by, documentation_merge, coverage_rollup, source_freshness, index_identities, log_fold, unit_overlay, obsolete_units, run_diagnostics, health, module_resolution, extract_facts)
 QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p6_found, p6_hierarchy, p6_descendants, p7_found, p7_plan, *OWN)}

@@ -14,7 +14,7 @@ import re
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
-from .lexers import CSHARP_KEYWORDS, ECMA_KEYWORDS, Tokens
+from ..functions.lexers import CSHARP_KEYWORDS, ECMA_KEYWORDS, Tokens
 
 
 @dataclass

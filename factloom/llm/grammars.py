@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 from .derivatives import Grammar
-from .lexers import CSHARP_KEYWORDS, CSHARP_NAMES, ECMA_KEYWORDS, ECMA_NAMES
+from ..functions.lexers import CSHARP_KEYWORDS, CSHARP_NAMES, ECMA_KEYWORDS, ECMA_NAMES
 
 _RESERVED_TYPES = "void null true false this typeof"
 

@@ -19,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lexers import LEX, Tokens, language_of
+from ..functions.lexers import LEX, Tokens, language_of
 
 # Conventions of paths, in lower case.
 VENDORED_DIRECTORIES = ("node_modules", "bower_components", "jspm_packages", "vendor", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "external", "externals", "deps", "pods", "site-packages")

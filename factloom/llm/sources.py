@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from . import docs, origin, validity
-from .lexers import LEX, language_of
+from ..functions.lexers import LEX, language_of
 
 OUT = "file_id {id}, repo_id string, path string, language string, evidence string, invalid string, functions array<struct<fn_line:bigint,fn_name:string,doc:string>>"
 #: Interpreters named in a first line that are those of other languages.

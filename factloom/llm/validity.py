@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .grammars import grammar
-from .lexers import LEX, Tokens
+from ..functions.lexers import LEX, Tokens
 
 #: Elixir: an operator at the start of a line continues the line before, these included.
 _CONTINUES = frozenset("|> <> ++ -- and or && || |||  &&& when = == != =~ === !== <= >= | :: <- ~> ~>> <~ <<~ <~> <<< >>> ** ^^^ // .. in => \\\\ + * /".split())

@@ -1,7 +1,7 @@
 import pytest
 
 from factloom.llm import docs, origin, sources, validity
-from factloom.llm.lexers import LEX, language_of
+from factloom.functions.lexers import LEX, language_of
 
 VALID = {
     "a.ts": """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package wherever the session was started.
+
+    On a cluster the package is shipped with the job; a path that does not exist there does no harm.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir).
 
@@ -31,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
+    importable(df.sparkSession)
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -42,4 +55,5 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

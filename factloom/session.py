@@ -45,7 +45,21 @@ def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     importable(df.sparkSession)
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return without_estimates(df.checkpoint(eager=True))
+
+
+def without_estimates(df: DataFrame) -> DataFrame:
+    """A checkpointed df without the size estimate of the plan that made it.
+
+    Checkpoints keep that estimate, and joins multiply estimates: in a loop they become numbers
+    of millions of digits. Adaptive execution goes by the sizes that are met anyway.
+    """
+    spark = df.sparkSession
+    try:
+        plain = spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False)
+    except Exception:  # not the classic session: keep the checkpoint as it is
+        return df
+    return DataFrame(plain, spark)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

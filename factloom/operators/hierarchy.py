@@ -16,7 +16,10 @@ once; self-loops are cycles of length one; empty tables give empty results.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -329,3 +332,64 @@ def descendants(nodes: DataFrame) -> DataFrame:
     way = nodes.where("depth > 0").select("repo_id", F.col("node_id").alias("descendant"), "depth", F.split("path", SEPARATOR).alias("w"))
     each = way.select("repo_id", "descendant", "depth", F.posexplode(F.slice("w", 1, F.size("w") - 1)).alias("at", "ancestor"))
     return each.select("repo_id", "ancestor", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+
+
+PAIR = "repo_id string, ancestor string, descendant string, distance bigint"
+#: Pairs that a task holds at most before it hands them on.
+BATCH = 50_000
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of whole repositories (repo_id, parents, children), by a breadth-first walk from every node."""
+    rows: list[tuple[str, str, str, int]] = []
+
+    def taken() -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * 4
+        rows.clear()
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.int64())], names=["repo_id", "ancestor", "descendant", "distance"])
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            repo, parents, children = (batch.column(c)[i].as_py() for c in range(3))
+            out: dict[str, list[str]] = {}
+            for a, b in zip(parents, children):
+                out.setdefault(a, []).append(b)
+            for start in out:
+                seen, wave, distance = {start}, [start], 0
+                while wave:
+                    distance += 1
+                    wave = list({b for a in wave for b in out.get(a, ())} - seen)
+                    seen.update(wave)
+                    rows += [(repo, start, b, distance) for b in wave]
+                    if len(rows) > BATCH:
+                        yield taken()
+    yield taken()
+
+
+def _reachable_by_joins(links: DataFrame) -> DataFrame:
+    """The pairs by joins alone: each round doubles the distances known, joining the farthest pairs with all."""
+    key = ["repo_id", "ancestor", "descendant"]
+    pairs = cut(links.select("repo_id", F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).cast("bigint").alias("distance")))
+    span = 1
+    while not (farthest := pairs.where(F.col("distance") == span)).isEmpty():
+        first = farthest.select("repo_id", "ancestor", F.col("descendant").alias("via"), F.col("distance").alias("d1"))
+        then = pairs.select("repo_id", F.col("ancestor").alias("via"), "descendant", F.col("distance").alias("d2"))
+        longer = first.join(then, ["repo_id", "via"]).where("ancestor <> descendant").select(*key, (F.col("d1") + F.col("d2")).alias("distance"))
+        pairs = cut(pairs.unionByName(longer).groupBy(*key).agg(F.min("distance").alias("distance")))
+        span *= 2
+    return pairs
+
+
+def reachable(links: DataFrame, limit: int = FRAGMENT) -> DataFrame:
+    """(repo_id, ancestor, descendant, distance): each node with all nodes that links lead to; one row per pair.
+
+    All parents of a node count, loops included; distance is the least number of links. A node
+    is not listed as its own descendant, though it may lie on a loop. Repositories of at most
+    limit links are walked by one task each, which holds the links but not the pairs; larger
+    ones are joined.
+    """
+    frags = cut(_fragments(links.where("parent <> child").select(*LINK.names), limit))
+    small = frags.where("frag = 0").groupBy("repo_id").agg(F.collect_list(F.struct("parent", "child")).alias("links"))
+    pairs = small.select("repo_id", "links.parent", "links.child").mapInArrow(_walk, PAIR)
+    split = frags.where("frag > 0")
+    return pairs if split.isEmpty() else pairs.unionByName(_reachable_by_joins(split))

@@ -54,6 +54,11 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(p6_hierarchy(spark, d))
 
 
+def p6_reachable(spark: SparkSession, d: str) -> DataFrame:
+    """Each node with each of its descendants over all links, not only those of the tree."""
+    return hierarchy.reachable(cut(hierarchy.hierarchy_links(table(spark, d, "edges"))))
+
+
 def _changed(spark: SparkSession, d: str) -> DataFrame:
     sources, runs, states = (table(spark, d, t) for t in ("source_files", "runs", "index_states"))
     log = changes.ChangeLog(spark, scratch(spark, "changes"))
@@ -284,4 +289,4 @@ def extract_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 OWN = (merge_nodes, merge_edges, merge_declarations, provenance_nodes, violations, violations_first, symbol_batch, symbol_by_id, name_pattern_topk, name_pattern_total, discovery_unscoped, declarations_of_symbol, declarations_in_file, enclosing_symbol, *map(_preset, lookup.PRESETS), neighborhood, impact_d2, impact_budgeted, affected_tests, symbols_in_project, public_surface, exercised_by, documentation_merge, coverage_rollup, source_freshness, index_identities, log_fold, unit_overlay, obsolete_units, run_diagnostics, health, module_resolution, extract_facts)
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p6_found, p6_hierarchy, p6_descendants, p7_found, p7_plan, *OWN)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p6_found, p6_hierarchy, p6_descendants, p6_reachable, p7_found, p7_plan, *OWN)}

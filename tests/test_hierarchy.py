@@ -66,3 +66,21 @@ def test_hierarchy(spark, limit):
 def test_empty(spark):
     links = h.hierarchy_links(edges(spark, []))
     assert h.cycle_nodes(links).collect() == [] and h.hierarchy(links).collect() == []
+
+
+@pytest.mark.parametrize("limit", [20, 200_000])
+def test_descendants_over_all_links(spark, limit):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for r in range(4):
+        n = rng.choice([6, 14, 30])
+        pairs = [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(int(n * 1.2))] + [(f"c{i:02}", f"c{i + 1:02}") for i in range(9)]
+        rows += [(f"r{r}", "p", f"u{rng.randrange(5)}", a, b, "contains") for a, b in pairs]
+        for start in {a for a, _ in pairs}:
+            far, wave = {start: 0}, {start}
+            while wave:
+                wave = {b for a, b in pairs if a in wave} - set(far)
+                far |= {x: max(far.values()) + 1 for x in wave}
+            want |= {(f"r{r}", start, x): d for x, d in far.items() if x != start}
+    got = h.reachable(h.hierarchy_links(edges(spark, rows * 2)), limit).collect()
+    assert len(got) == len(want) and {tuple(r)[:3]: r.distance for r in got} == want

@@ -31,8 +31,8 @@ LOST = "�"
 ENTER_UTF8, ENTER_BYTE, LEAVE = 3.0, 14.0, 1.0
 #: What a word costs that its state cannot have written.
 IMPOSSIBLE = 12.0
-#: Words kept by a task at most, and readings kept of a word.
-MEMO, READINGS = 200_000, 16
+#: Words kept by a task at most.
+MEMO = 200_000
 #: Longest word scored whole; a longer one is scored in parts of this length.
 LONGEST = 256
 
@@ -198,7 +198,11 @@ class Scorer:
         mark = np.array([c in "‘’‚“”„–—…«»" for c in self.names])
         self.costs = [np.where(mark & letter[np.maximum(m, 0)], PUNCTUATION, 0.0).astype(np.float32) for m in maps]
         self.lost = self.names.index(LOST)
-        self.memo: dict[str, tuple] = {}
+        #: All states but clean, and what it costs to enter each; a word's readings are one gain per state.
+        self.states = sorted([*self.pairs, *(("utf-8", codec) for codec in CODECS)])
+        self.column = {p: j for j, p in enumerate(self.states)}
+        self.enter = np.array([entry(p) for p in self.states], dtype=np.float32)
+        self.memo: dict[str, np.ndarray] = {}
 
     def _numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = "\n" + "\n".join(words) + "\n"
@@ -212,19 +216,19 @@ class Scorer:
         each = (self.model.next if table is None else table)[c[:-1], c[1:]] + self.model.shape[s[:-1], s[1:]]
         return np.add.reduceat(each - UNKNOWN * (n[1:] == self.lost), starts)
 
-    def score(self, words: list[str]) -> list[tuple]:
-        """For each word its readings ((T, W), gain), the best first."""
+    def score(self, words: list[str]) -> np.ndarray:
+        """For each word a row of gains, one per state: how much likelier the restored form is; -IMPOSSIBLE where the state cannot have written the word."""
         n, starts = self._numbers(words)
         clean = self._sums(n, starts, self.model.seen)
-        found: list[list] = [[] for _ in words]
+        found = np.full((len(words), len(self.states)), -IMPOSSIBLE, dtype=np.float32)
         for pair, there, cost in zip(self.pairs, self.maps, self.costs):
             m = there[n]
             bad = np.minimum.reduceat(m, starts) < 0
             if bad.all():
                 continue
             gain = self._sums(np.where(m < 0, 1, m), starts) - clean - np.add.reduceat(cost[n], starts)
-            for i in np.flatnonzero(~bad & (gain > -4.0)):
-                found[i].append((pair, float(gain[i])))
+            gain[np.logical_and.reduceat(m == n, starts)] = 0.0  # written alike by both encodings
+            found[~bad, self.column[pair]] = gain[~bad]
         for codec in CODECS:
             b = self.bytes[codec][n]
             lead, tail = (b[:-1] >= 0xC2) & (b[:-1] <= 0xF4), (b[1:] >= 0x80) & (b[1:] <= 0xBF)
@@ -233,11 +237,9 @@ class Scorer:
             back = [restore(words[i], ("utf-8", codec)) for i in at]
             some = [(i, r) for i, r in zip(at, back) if r is not None and r != words[i]]
             if some:
-                gains = self._sums(*self._numbers([r for _, r in some]))
-                for (i, _), g in zip(some, gains):
-                    if g - clean[i] > -4.0:
-                        found[i].append((("utf-8", codec), float(g - clean[i])))
-        return [tuple(sorted(f, key=lambda x: -x[1])[:READINGS]) if any(g > 0 for _, g in f) else () for f in found]
+                at = np.array([i for i, _ in some])
+                found[at, self.column["utf-8", codec]] = self._sums(*self._numbers([r for _, r in some])) - clean[at]
+        return found
 
     def readings(self, words: list[str]) -> None:
         """Fills the table for these words."""
@@ -249,15 +251,22 @@ class Scorer:
             part = new[i : i + 4096]
             self.memo.update(zip(part, self.score(part)))
 
+    def payable(self, gains: np.ndarray) -> np.ndarray:
+        """The numbers of the states whose gains over a text's words, a row each, can pay for their entry; no other lies on the best path."""
+        return np.flatnonzero(np.maximum(gains, 0.0).sum(axis=0) > self.enter)
+
     def path(self, words: list[str]) -> list[tuple[str, str] | None]:
-        """The most likely state of each word (None: clean); LOST words are (LOST, LOST)."""
-        pairs = sorted({p for w in words for p, g in self.memo[w] if g > 0})
+        """The most likely state of each word (None: clean)."""
+        if not words:
+            return []
+        gains = np.stack([self.memo[w] for w in words])
+        able = self.payable(gains)
+        pairs = [self.states[j] for j in able]
         enter = [0.0, *map(entry, pairs)]
         best = [0.0] + [-enter[j + 1] for j in range(len(pairs))]
         trail: list[list[int]] = []
-        for w in words:
-            gain = dict(self.memo[w])
-            emit = [0.0] + [gain.get(p, -IMPOSSIBLE) for p in pairs]
+        for row in gains[:, able].tolist():
+            emit = [0.0, *row]
             if trail:
                 top = max(range(len(best)), key=best.__getitem__)
                 came, now = [], []
@@ -319,12 +328,7 @@ def label(scorer: Scorer, text: str | None) -> list[tuple[int, int, tuple[str, s
         return []
     words = words_of(text)
     scorer.readings(words)
-    gains: dict[tuple[str, str], float] = {}
-    for readings in map(scorer.memo.__getitem__, words):
-        for p, g in readings:
-            if g > 0:
-                gains[p] = gains.get(p, 0.0) + g
-    if LOST not in text and not any(g > entry(p) for p, g in gains.items()):
+    if not words or LOST not in text and not len(scorer.payable(np.stack([scorer.memo[w] for w in words]))):
         return []  # no state can pay for its entry
     spans = [(i, min(i + LONGEST, m.end())) for m in WORDS.finditer(text) for i in range(m.start(), m.end(), LONGEST)]
     out = []

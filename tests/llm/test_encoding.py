@@ -78,3 +78,18 @@ def test_dataframe(spark):
     got = {r.doc_id: r for r in e.wrongly_decoded(df, "doc_id", "text").collect()}
     assert set(got) == {100, None} and got[100].restored == "João canção" and got[None].states == ["lost"]
     assert e.wrongly_decoded(df.limit(0), "doc_id", "text").collect() == []
+
+
+def test_words_that_both_encodings_write_alike_cost_nothing(scorer):
+    # a-acute and e-acute are the same in cp1250 and cp1252, o-umlaut and u-umlaut in cp1254 and cp1252.
+    for pair, words in ((("cp1250", "cp1252"), ["já", "é", "ná"]), (("cp1254", "cp1252"), ["köprü", "gümüş".replace("ş", "s")])):
+        assert scorer.score(words)[:, scorer.column[pair]].tolist() == [0.0] * len(words)
+    # A character that the wrong encoding does not have cannot come from it.
+    assert scorer.score(["ж"])[0, scorer.column["cp1250", "cp1252"]] == -e.IMPOSSIBLE
+
+
+def test_weakly_damaged_words_among_words_written_alike(scorer):
+    gain = scorer.score(["þu"])[0, scorer.column["cp1254", "cp1252"]]
+    assert 0 < gain < e.IMPOSSIBLE
+    text = " ".join(["þu", "için", "él"] * 8)
+    assert e.restored(text, e.label(scorer, text)) == " ".join(["şu", "için", "él"] * 8)

@@ -215,8 +215,9 @@ doblock = 'do' block { ( 'else' | 'rescue' | 'catch' | 'after' ) block } 'end'
 expr = unary { binop [ nl ] unary }
 unary = prefix [ nl ] unary | postfix [ doblock ]
 prefix = 'not' | '!' | '-' | '+' | '&' | '^' | '@' | '~~~' | '..' | '...'
-postfix = primary { '.' ( id | alias | str | '{' [ nl ] list '}' ) | '.' callargs | callargs | 'at[' [ nl ] expr [ nl ] ']' } [ bare ]
-callargs = ( 'call(' | '(' ) [ nl ] [ args ] ')'
+postfix = primary { suffix } [ '.' ( id | str ) bare ] | id bare
+suffix = '.' ( id | alias | str | '{' [ nl ] list '}' ) | '.' callargs | callargs | 'at[' [ nl ] expr [ nl ] ']'
+callargs = 'call(' [ nl ] [ args ] ')'
 bare = arg { ',' [ nl ] arg }
 args = arg { ',' [ nl ] arg } [ ',' ] [ nl ]
 arg = expr | kw [ nl ] expr

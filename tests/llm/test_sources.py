@@ -155,6 +155,16 @@ def test_invalid(path, text):
     assert sources.look(path, text, False, False)[2] is not None
 
 
+@pytest.mark.parametrize("text", ["[1 2]", "{:ok 5}", "%{a: 1 b: 2}", '"a" "b"', "f(x) y", "x = 1 2", "[a: 1 b: 2]", "A.f(x) y", "(a) b", "fn -> 1 end 2", ":a b", "A b", "{:ok (x)}", "f.(x) y"])
+def test_missing_comma_or_operator(text):
+    assert sources.look("a.ex", f"defmodule A do\n  def f(x) do\n    {text}\n  end\nend\n", False, False)[2] is not None
+
+
+@pytest.mark.parametrize("text", ["f x, y", "A.f x, a: 1", "a.b.c 1", "A.\"f g\" 1", ":m.f 1", "f x do\n1\nend", "A.f x do\n1\nend", "f g h 1", "@spec f(x) :: y", "f (1)", "f(x)(y)", "f.(x).(y)", "A.f(x).g y", "a |> A.f b", "f [1], {2}", "f fn x -> x end", "unquote(f)(x)", "A.unquote(f)(x)", "x[:a].b 1", "f (1), 2", "A.f (1) + 2", "f -1", "f a: 1, b: 2"])
+def test_calls_without_brackets_are_valid(text):
+    assert sources.look("a.ex", f"defmodule A do\n  def f(x) do\n    {text}\n  end\nend\n", False, False)[2] is None
+
+
 @pytest.mark.parametrize("path", VALID)
 def test_truncation_is_found(path):
     text = VALID[path].lstrip()

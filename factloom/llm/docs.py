@@ -99,6 +99,45 @@ def _params(t: Tokens, text: str, open_: int) -> list[str]:
 _NOT_NAMES = ECMA_KEYWORDS - {"delete", "default", "in", "import", "continue", "return", "catch", "finally", "throw", "with", "do"}
 
 
+#: What stands before a brace that opens an object literal (a colon needs a look at what it belongs to).
+_BEFORE_OBJECT = frozenset(("=", "(", ",", "[", "?", "&&", "||", "??", "??=", "||=", "&&=", "return", "default", "throw", "await", "yield"))
+
+
+def _brace(kinds: list[str], i: int, start: int, stack: list[str]) -> str:
+    """What the brace at i opens: an object literal, the members of a type, or a block; start: where the statement or member begins."""
+    begin = start
+    while begin < i and kinds[begin] in ("export", "declare", "default"):
+        begin += 1
+    if "type" in stack and stack[-1] != "block" or begin + 1 < i and kinds[begin] in ("type", "interface") and kinds[begin + 1][0].isalpha():
+        return "type"
+    before = kinds[i - 1] if i else ""
+    if before == ":":
+        if any(kinds[j] == "?" and kinds[j + 1] not in (":", ")", ",") for j in range(start, i - 1)):
+            return "object"  # the other branch of a condition
+        # A property's value; behind a bracket it is the type that a method returns.
+        return "object" if stack and stack[-1] == "object" and kinds[i - 2] != ")" else "block"
+    return "object" if before in _BEFORE_OBJECT else "block"
+
+
+def _function_value(t: Tokens, text: str, p: int) -> list[str] | None:
+    """The parameters of the function or arrow that the expression at p is; None if it is neither."""
+    kinds, n = t.kind, len(t.kind)
+    if p + 1 < n and kinds[p] == "async" and kinds[p + 1] != "=>":
+        p += 1
+    if p < n and kinds[p] == "function":
+        while p < n and kinds[p] != "(":
+            p += 1
+        return _params(t, text, p) if p < n else []
+    if p < n and kinds[p] == "<":
+        p = _close_angle(kinds, p) + 1
+    if p < n and kinds[p] == "(":
+        q = _close(kinds, p) + 1
+        if q < n and kinds[q] == ":":
+            q = _skip_type(kinds, q)
+        return _params(t, text, p) if q < n and kinds[q] == "=>" else None
+    return [text[t.start[p] : t.end[p]]] if p + 1 < n and kinds[p + 1] == "=>" else None
+
+
 def _ecma_functions(t: Tokens, text: str) -> list[Function]:
     kinds, out, n = t.kind, [], len(t.kind)
     # Where a class body's members stand: brace depth by open class.
@@ -115,7 +154,7 @@ def _ecma_functions(t: Tokens, text: str) -> list[Function]:
                 skip = _close(kinds, skip) + 1 if kinds[skip] == "(" else skip + 2
             continue
         if k == "{":
-            stack.append("class" if pending_class else "block")
+            stack.append("class" if pending_class else _brace(kinds, i, start_of, stack))
             pending_class = False
             start_of = i + 1
             continue
@@ -136,6 +175,9 @@ def _ecma_functions(t: Tokens, text: str) -> list[Function]:
         elif k == "class":
             pending_class = i == 0 or kinds[i - 1] != "."
         top = stack[-1] if stack else "block"
+        if k == "," and top == "object":
+            start_of = i + 1
+            continue
         if k == "function" and top in ("block", "class") and (i == 0 or kinds[i - 1] != "."):
             j = i + 1 + (i + 1 < n and kinds[i + 1] == "*")
             before = kinds[start_of:i]
@@ -148,27 +190,10 @@ def _ecma_functions(t: Tokens, text: str) -> list[Function]:
         elif k in ("const", "let", "var") and top == "block" and all(b in ("export", "declare") for b in kinds[start_of:i]) and i + 1 < n:
             j = _skip_type(kinds, i + 2)
             if j < n and kinds[j] == "=":
-                p = j + 1 + (j + 1 < n and kinds[j + 1] == "async")
-                params: list[str] | None = None
-                if p < n and kinds[p] == "function":
-                    p += 1
-                    while p < n and kinds[p] != "(":
-                        p += 1
-                    params = _params(t, text, p) if p < n else []
-                else:
-                    if p < n and kinds[p] == "<":
-                        p = _close_angle(kinds, p) + 1
-                    if p < n and kinds[p] == "(":
-                        q = _close(kinds, p) + 1
-                        if q < n and kinds[q] == ":":
-                            q = _skip_type(kinds, q)
-                        if q < n and kinds[q] == "=>":
-                            params = _params(t, text, p)
-                    elif p + 1 < n and kinds[p + 1] == "=>":
-                        params = [text[t.start[p] : t.end[p]]]
+                params = _function_value(t, text, j + 1)
                 if params is not None and kinds[i + 1] not in ("{", "["):
                     out.append(Function(text[t.start[i + 1] : t.end[i + 1]], t.start[i + 1], t.start[start_of], params))
-        elif top == "class" and k not in ("(", "[", "*", "@") and i >= start_of:
+        elif top in ("class", "object") and k not in ("(", "[", "*", "@") and i >= start_of:
             # A member: modifiers, a name, type parameters, then the parameter list.
             p = i + 1
             if p < n and kinds[p] == "?":
@@ -180,21 +205,19 @@ def _ecma_functions(t: Tokens, text: str) -> list[Function]:
                 q = _close(kinds, p) + 1
                 if q < n and kinds[q] == ":":
                     q = _skip_type(kinds, q)
-                if q < n and kinds[q] in ("{", ";") or (q < n and t.newline[q]):
+                if q < n and (kinds[q] == "{" or top == "class" and (kinds[q] == ";" or t.newline[q])):
                     name = text[t.start[i] : t.end[i]].strip("\"'")
                     out.append(Function(name, t.start[i], t.start[start_of], _params(t, text, p)))
-            elif p < n and kinds[p] in ("=", ":") and k == "id" and all(h[0].isalpha() for h in head):
+            elif top == "object":
+                if i == start_of and i + 1 < n and kinds[i + 1] == ":" and (k in ("id", "str", "num") or k[0].isalpha()):
+                    params = _function_value(t, text, i + 2)
+                    if params is not None:
+                        out.append(Function(text[t.start[i] : t.end[i]].strip("\"'"), t.start[i], t.start[start_of], params))
+            elif p < n and kinds[p] in ("=", ":") and k in ("id", "priv") and all(h[0].isalpha() for h in head):
                 j = _skip_type(kinds, p)
-                if j < n and kinds[j] == "=":
-                    j += 1 + (j + 1 < n and kinds[j + 1] == "async")
-                    if j < n and kinds[j] == "function":
-                        out.append(Function(text[t.start[i] : t.end[i]], t.start[i], t.start[start_of], []))
-                    elif j < n and kinds[j] == "(":
-                        q = _close(kinds, j) + 1
-                        if q < n and kinds[q] == ":":
-                            q = _skip_type(kinds, q)
-                        if q < n and kinds[q] == "=>":
-                            out.append(Function(text[t.start[i] : t.end[i]], t.start[i], t.start[start_of], _params(t, text, j)))
+                params = _function_value(t, text, j + 1) if j < n and kinds[j] == "=" else None
+                if params is not None:
+                    out.append(Function(text[t.start[i] : t.end[i]], t.start[i], t.start[start_of], params))
     return out
 
 

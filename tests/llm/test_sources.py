@@ -350,6 +350,75 @@ end
     assert found("a.ex", ex) == [(11, "f"), (22, "i?")]
 
 
+def test_documented_functions_of_object_literals_and_arrow_properties():
+    js = """const api = {
+  limit: 1,
+  /** Loads the parcel from disk. */
+  load(x) { return g({ x }); },
+  /** Moves every crate ashore. */
+  async *move(a, b) { if (a) { const c = { d: 1 }; } },
+  /** Keeps what was paid last. */
+  keep: function (a) { },
+  /** Sorts harbours by depth. */
+  "sort": async (a) => a,
+  /** Counts gulls over water. */
+  count: x => x,
+  inner: {
+    /** Wakes the night watch. */
+    wake() { },
+  },
+  /** Not a function, only a number. */
+  size: f(x),
+};
+export default {
+  /** Starts whatever waits. */
+  run() {
+    /** Opens the inner hatch. */
+    function open() { }
+  },
+};
+switch (a) {
+  case 1: {
+    /** Turns the old key. */
+    const turn = (a) => { };
+  }
+}
+const pick = a ? 1 : {
+  /** Chooses the better rope. */
+  choose() { },
+};
+class A {
+  /** Folds the sail quickly. */
+  fold = x => x;
+  /** Hides the inner light. */
+  #hide = async x => x;
+}
+"""
+    names = ["load", "move", "keep", "sort", "count", "wake", "run", "open", "turn", "choose", "fold", "#hide"]
+    assert [n for _, n in found("a.js", js)] == names
+    ts = """type T = {
+  /** Is called for every row. */
+  cb: (x: number) => void;
+  /** Holds the nested callbacks. */
+  inner: { cb: (x: number) => void };
+};
+interface I {
+  /** Is called when it ends. */
+  end: (x: number) => void;
+}
+const o: { a?: { b: (x: number) => void } } = {
+  /** Gives back the whole box. */
+  box(): { a: string } { return { a: "" }; },
+};
+function f(o: { /** Says hello to them. */ cb: (x: number) => void }): { a: string } { return null; }
+class B {
+  /** Maps the generic cargo. */
+  map = <T>(x: T): T => x;
+}
+"""
+    assert [n for _, n in found("a.ts", ts)] == ["box", "map"]
+
+
 def test_assignment_takes_the_nearest_and_uses_each_once():
     text = "/** Counts what is lost. */\n/** Sums up what is left. */\nfunction total(a) { }\nfunction other(a) { }\n"
     assert [(b, c) for _, b, c in docs.documented(text, "javascript", LEX["javascript"](text))] == [("total", "Sums up what is left.")]

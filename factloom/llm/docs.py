@@ -321,7 +321,16 @@ _DEFS = frozenset(("def", "defp", "defmacro", "defmacrop", "defguard", "defguard
 def _elixir_functions(t: Tokens, text: str) -> list[Function]:
     kinds, out, n = t.kind, [], len(t.kind)
     last: tuple[str, str] | None = None
+    blocks: list[bool] = []  # whether each open block is a module's
+    module = False
     for i in range(n - 1):
+        if kinds[i] in ("do", "fn"):
+            blocks.append(module and kinds[i] == "do")
+            module = False
+        elif kinds[i] == "end" and blocks:
+            last = None if blocks.pop() else last
+        elif kinds[i] == "id" and text[t.start[i] : t.end[i]] in ("defmodule", "defimpl", "defprotocol"):
+            last, module = None, True
         if kinds[i] == "id" and (i == 0 or kinds[i - 1] in ("nl", "do", ";", "->")) and text[t.start[i] : t.end[i]] in _DEFS and kinds[i + 1] in ("id", "kw"):
             j = i + 1
             name = text[t.start[j] : t.end[j]].rstrip(":")
@@ -398,6 +407,10 @@ def _name_words(name: str) -> set[str]:
     return {_stem(w.lower()) for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_a-zA-Z]+", name)}
 
 
+#: A line or sentence of a licence notice; a description may speak of copyright.
+_NOTICE = re.compile(r"^\W*copyright\s*(?:\(c\)|©|\d{4}|by\b)|^\W*(?:\(c\)|©)\s*(?:copyright|\d{4})|(?:^|[.,])\W*all rights reserved\b|^\W*spdx-license-identifier\b", re.I | re.M)
+
+
 def informative(text: str, name: str) -> bool:
     """Whether a description says more than a placeholder or the function's name."""
     words = re.findall(r"[^\W_]+", text.lower())
@@ -405,7 +418,7 @@ def informative(text: str, name: str) -> bool:
         return False
     if words[0] in ("todo", "fixme", "xxx", "tbd") and len(words) <= 4:
         return False
-    if re.search(r"\bcopyright\b|\ball rights reserved\b|\bspdx\b", text, re.I):
+    if _NOTICE.search(text):
         return False
     own = _name_words(name)
     return any(_stem(w) not in own and w not in own for w in words if w not in _FILLERS)

@@ -419,6 +419,18 @@ class B {
     assert [n for _, n in found("a.ts", ts)] == ["box", "map"]
 
 
+def test_same_function_in_several_modules():
+    inner = '  @doc "Starts whatever waits."\n  def run(a), do: a\n'
+    ex = f"defmodule A do\n{inner}end\ndefmodule B do\n{inner}  def run(_), do: 1\n  defmodule C do\n{inner}  end\n{inner}end\n"
+    assert found("a.ex", ex) == [(3, "run"), (7, "run"), (11, "run"), (14, "run")]
+
+
+def test_descriptions_may_speak_of_copyright():
+    assert docs.informative("Returns the copyright notice of a book.", "load") and docs.informative("Prints the words all rights reserved.", "load")
+    for notice in ("Copyright (c) 2020 The Authors", "Copyright Harbour Works. All rights reserved.", "SPDX-License-Identifier: MIT", "Parcels 1.2\nCopyright 2020 A"):
+        assert not docs.informative(notice, "load")
+
+
 def test_assignment_takes_the_nearest_and_uses_each_once():
     text = "/** Counts what is lost. */\n/** Sums up what is left. */\nfunction total(a) { }\nfunction other(a) { }\n"
     assert [(b, c) for _, b, c in docs.documented(text, "javascript", LEX["javascript"](text))] == [("total", "Sums up what is left.")]

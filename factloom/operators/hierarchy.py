@@ -1,40 +1,46 @@
 """Parent-child links of unknown depth: cycles, paths, depths, roots and descendants.
 
-Both operators work on fragments that one task can hold (at most FRAGMENT links), never on
+All operators work on fragments that one task can hold (about FRAGMENT links at most), never on
 a whole repository of any size:
 
-1. links are grouped into fragments; a repository with more than FRAGMENT links is split,
+1. links are grouped into fragments by the unit that wrote them; a unit with more links than a
+   fragment may hold is split by its parents, and a parent with more children by these,
 2. each fragment is solved for itself and reduced to what its exits (the nodes it shares
    with other fragments) see of it: chains are contracted, dead ends dropped, local cycles
    shrunk to one node,
-3. the reduced links form a smaller graph (the quotient), which is solved in the same way,
+3. the reduced links form a smaller graph (the quotient), which is solved in the same way, with
+   fragments of twice the size,
 4. the quotient's answer is carried back into the fragments, which finish locally.
 
+The same steps run at every size: a repository that fills one fragment has no exits, so its
+quotient is empty. A quotient that no longer shrinks, though its fragments have grown to HOLD
+links, is solved by joins, with the same result.
+
 Defined results: rows with a null end or repository are no links; repeated links count
 once; self-loops are cycles of length one; empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
 
-#: Links that one task holds at most.
-FRAGMENT = 200_000
-#: Times the quotient is reduced again before the level-wise solver takes over.
-LEVELS = 6
+#: Links that a fragment holds at most (its parts are hashed, so about).
+FRAGMENT = 5_000
+#: Links up to which fragments of later quotients grow, twofold each time.
+HOLD = 1_000_000
+#: A quotient has shrunk if it has so much of the links before at most.
+SHRUNK = 0.9
 KINDS = ("contains", "declares")
 #: Starts the names of nodes that exist in a quotient only.
 INNER = "\x01"
-#: Between the nodes of a path.
-SEPARATOR = " > "
 
 
 def hierarchy_links(edges: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
@@ -163,13 +169,23 @@ def _finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(key[0], x, c) for x, c in sorted(rows)], columns=CLASS.names)
 
 
-def _fragments(links: DataFrame, limit: int) -> DataFrame:
-    """links with frag: 0 in repositories of at most limit links, else 1.. by part."""
-    sizes = links.groupBy("repo_id").agg(F.count("*").alias("_n")).select(F.col("repo_id").alias("_r"), F.ceil(F.col("_n") / max(1, limit // 2)).alias("_k"), (F.col("_n") > limit).alias("_big"))
-    big = sizes.where("_big")
-    joined = links.join(big, links["repo_id"].eqNullSafe(big["_r"]), "left")
+def _bins(df: DataFrame, limit: int, by: tuple[str, ...]) -> DataFrame:
+    """df with each frag of more than limit rows split by a hash of some columns (0 stays whole)."""
+    full = df.where("frag != 0").groupBy("repo_id", "frag").agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    full = cut(full.select(F.col("repo_id").alias("_r"), F.col("frag").alias("_f"), F.ceil(F.col("_n") * 2 / limit).alias("_m")))
+    if full.isEmpty():
+        return df
+    joined = df.join(full, df["repo_id"].eqNullSafe(full["_r"]) & (df["frag"] == full["_f"]), "left")
+    return joined.select(*[c for c in df.columns if c != "frag"], F.when(F.col("_m").isNull(), F.col("frag")).otherwise(F.xxhash64("frag", F.pmod(F.xxhash64(*by), "_m"))).alias("frag"))
+
+
+def _fragments(links: DataFrame, limit: int, ends: tuple[str, str] = ("parent", "child")) -> DataFrame:
+    """links with frag: 0 in repositories that fill one fragment, else by part, large parts by parent, large parents by child."""
+    sizes = links.groupBy("repo_id").agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(F.col("repo_id").alias("_r"), F.ceil(F.col("_n") * 2 / limit).alias("_k"))
+    joined = links.join(sizes, links["repo_id"].eqNullSafe(sizes["_r"]), "left")
     frag = F.when(F.col("_k").isNull(), F.lit(0).cast("bigint")).otherwise(F.pmod("part", F.col("_k")) + 1)
-    return joined.select(*links.columns, frag.alias("frag"))
+    out = joined.select(*links.columns, frag.alias("frag"))
+    return _bins(_bins(out, limit, ends[:1]), limit, ends)
 
 
 def _marked(split: DataFrame) -> DataFrame:
@@ -188,21 +204,30 @@ def _with_classes(links: DataFrame, classes: DataFrame) -> DataFrame:
     return links
 
 
-def _classes(links: DataFrame, limit: int, level: int = 0) -> DataFrame:
-    """(repo_id, node, class) of the nodes in components of more than one node; links without self-loops."""
+def _solved(links: DataFrame, limit: int, before: int | None, local: Callable[[DataFrame], DataFrame], by_joins: Callable[[DataFrame], DataFrame], carried: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The steps above. local answers for whole repositories, carried for split ones, given the quotient's answer."""
     frags = cut(_fragments(links, limit))
-    small = frags.where("frag = 0").withColumns({"pclass": F.lit(None).cast("string"), "cclass": F.lit(None).cast("string")})
-    whole = small.groupBy("repo_id", "frag").applyInPandas(_finish, CLASS)
-    split = frags.where("frag > 0")
-    if split.isEmpty():
+    whole, split = local(frags.where("frag = 0")), frags.where("frag != 0")
+    left = split.count()
+    if not left:
         return whole
-    if level == LEVELS:
-        return whole.unionByName(_classes_by_colour(split.drop("frag")))
+    if before is not None and left > SHRUNK * before and limit >= HOLD:
+        return whole.unionByName(by_joins(split.drop("frag")))
     marked = cut(_marked(split))
     reduced = cut(marked.groupBy("repo_id", "frag").applyInPandas(_reduce, LINK))
     quotient = reduced.withColumn("part", F.floor(F.col("part") / 4).cast("bigint")).dropDuplicates(["repo_id", "parent", "child"])
-    upper = _classes(quotient, limit, level + 1)
-    return whole.unionByName(_with_classes(marked, upper).groupBy("repo_id", "frag").applyInPandas(_finish, CLASS))
+    upper = _solved(quotient, min(2 * limit, max(limit, HOLD)), left, local, by_joins, carried)
+    return whole.unionByName(carried(marked, upper))
+
+
+def _classes(links: DataFrame, limit: int) -> DataFrame:
+    """(repo_id, node, class) of the nodes in components of more than one node; links without self-loops."""
+    none = {"pclass": F.lit(None).cast("string"), "cclass": F.lit(None).cast("string")}
+
+    def finished(df: DataFrame) -> DataFrame:
+        return df.groupBy("repo_id", "frag").applyInPandas(_finish, CLASS)
+
+    return _solved(links, limit, None, lambda df: finished(df.withColumns(none)), _classes_by_colour, lambda marked, upper: finished(_with_classes(marked, upper)))
 
 
 def _classes_by_colour(links: DataFrame) -> DataFrame:
@@ -259,137 +284,175 @@ def cycle_nodes(links: DataFrame, limit: int = FRAGMENT) -> DataFrame:
 
 # --- paths --------------------------------------------------------------------------------
 
-STEP = T.StructType([T.StructField("repo_id", T.StringType()), T.StructField("node_id", T.StringType()), T.StructField("parent_id", T.StringType()), T.StructField("up", T.StringType()), T.StructField("path", T.ArrayType(T.StringType())), T.StructField("loop", T.BooleanType())])
+STEP = T.StructType([T.StructField("repo_id", T.StringType()), T.StructField("node_id", T.StringType()), T.StructField("up", T.StringType()), T.StructField("path", T.ArrayType(T.StringType()))])
 
 
 def _climb(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Each node's way up to the fragment's exit: path (topmost first) and the parent beyond it."""
+    """Each node's way up to the fragment's exit: path (topmost first) and the parent beyond it. Ways have no loops."""
     parent = {n: (p if isinstance(p, str) else None) for n, p in zip(pdf["node_id"], pdf["parent_id"])}
-    done: dict[str, tuple[str | None, list[str], bool]] = {}
-    for node in parent:
-        way, on = [], set()
-        x = node
-        while x is not None and x in parent and x not in done and x not in on:
+    done: dict[str, tuple[str | None, list[str]]] = {}
+    for x in parent:
+        way = []
+        while x is not None and x in parent and x not in done:
             way.append(x)
-            on.add(x)
             x = parent[x]
-        if x is not None and x in on:
-            top = (None, [], True)
-        elif x is not None and x in done:
-            top = done[x]
-        else:
-            top = (x, [], False)
+        top = done[x] if x in done else (x, [])
         for y in reversed(way):
-            top = (top[0], [*top[1], y] if not top[2] else [], top[2])
-            done[y] = top
-    rows = [(key[0], n, parent[n], up, path, loop) for n, (up, path, loop) in done.items()]
-    return pd.DataFrame(rows, columns=STEP.names)
+            top = done[y] = (top[0], [*top[1], y])
+    return pd.DataFrame([(key[0], n, *top) for n, top in done.items()], columns=STEP.names)
 
 
-def NO_PATH() -> Column:  # noqa: N802
-    return F.array().cast("array<string>")
+def _tree(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """(repo_id, node_id, parent_id, part, on_cycle): each node below the least parent that is on no cycle with it.
 
+    The nodes of one cycle share the least parent that any of them has outside.
+    """
+    known = _with_classes(links, classes)
+    pkey, ckey = F.coalesce("pclass", "parent"), F.coalesce("cclass", "child")
+    ends = F.array(
+        F.struct(F.col("parent").alias("node_id"), F.col("pclass").alias("class"), F.lit(None).cast("string").alias("up"), F.lit(False).alias("loop")),
+        F.struct(F.col("child").alias("node_id"), F.col("cclass").alias("class"), F.when(pkey != ckey, F.col("parent")).alias("up"), (F.col("parent") == F.col("child")).alias("loop")),
+    )
+    rows = known.select("repo_id", F.explode(ends).alias("e"), "part").select("repo_id", "e.*", "part")
+    nodes = cut(rows.groupBy("repo_id", "node_id").agg(F.max("class").alias("class"), F.min("up").alias("parent_id"), F.min("part").alias("part"), F.bool_or("loop").alias("loop")))
+    shared = nodes.where("class is not null").groupBy("repo_id", "class").agg(F.min("parent_id").alias("parent_id"))
+    single = nodes.where("class is null").select("repo_id", "node_id", "parent_id", "part", F.col("loop").alias("on_cycle"))
+    return single.unionByName(nodes.where("class is not null").drop("parent_id").join(shared, ["repo_id", "class"]).select("repo_id", "node_id", "parent_id", "part", F.lit(True).alias("on_cycle")))
 
-def hierarchy(links: DataFrame, limit: int = FRAGMENT) -> DataFrame:
-    """(repo_id, node_id, parent_id, root_id, depth, path, n_descendants): one row per node.
 
-    A node with several parents hangs below the least of them (itself excepted). Roots have
-    depth 0. Nodes on a loop of such links, and nodes below one, have null root, depth and path.
-    """
-    real = links.where(F.col("parent") != F.col("child"))
-    up = real.groupBy("repo_id", F.col("child").alias("node_id")).agg(F.min("parent").alias("parent_id"), F.min("part").alias("part"))
-    tops = links.select("repo_id", F.explode(F.array("parent", "child")).alias("node_id"), "part").groupBy("repo_id", "node_id").agg(F.min("part").alias("part"))
-    nodes = tops.unionByName(up, allowMissingColumns=True).groupBy("repo_id", "node_id").agg(F.max("parent_id").alias("parent_id"), F.min("part").alias("part"))
-    steps = cut(_fragments(nodes, limit).groupBy("repo_id", "frag").applyInPandas(_climb, STEP))
-    # The quotient: only the nodes at which another fragment's way goes on. Ways double in each
-    # round, first without their paths, so that what leads into a loop is known before paths grow.
+def paths(nodes: DataFrame, limit: int = FRAGMENT) -> DataFrame:
+    """(repo_id, node_id, path) of a forest (repo_id, node_id, parent_id, part): the nodes from the root down to each."""
+    steps = cut(_fragments(nodes, limit, ("parent_id", "node_id")).groupBy("repo_id", "frag").applyInPandas(_climb, STEP))
+    # The quotient forest: only the nodes at which another fragment's way goes on. Ways double in each round.
     doors = steps.where("up is not null").select("repo_id", F.col("up").alias("node_id")).distinct()
-    exits = cut(steps.join(doors, ["repo_id", "node_id"], "left_semi").select("repo_id", "node_id", "up", "path", "loop"))
-    bare = exits.where("not loop").select("repo_id", "node_id", "up")
-    span, most = 1, exits.count()
-    while span <= most and not bare.where("up is not null").isEmpty():
-        beyond = bare.select("repo_id", F.col("node_id").alias("up"), F.col("up").alias("up2"))
-        looped = exits.where("loop").select("repo_id", F.col("node_id").alias("up"), F.col("node_id").alias("up2"))
-        bare = cut(bare.join(beyond.unionByName(looped), ["repo_id", "up"], "left").select("repo_id", "node_id", F.col("up2").alias("up")))
-        span *= 2
-    endless = bare.where("up is not null").select("repo_id", "node_id").unionByName(exits.where("loop").select("repo_id", "node_id"))
-    endless = cut(endless.withColumn("loop", F.lit(True)))
-    jump = exits.drop("loop").join(endless, ["repo_id", "node_id"], "left_anti")
+    jump = cut(steps.join(doors, ["repo_id", "node_id"], "left_semi"))
     while not jump.where("up is not null").isEmpty():
         beyond = jump.select("repo_id", F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
-        jump = cut(jump.join(beyond, ["repo_id", "up"], "left").select("repo_id", "node_id", F.col("up2").alias("up"), F.concat(F.coalesce("path2", NO_PATH()), "path").alias("path")))
-    jump = jump.select("repo_id", "node_id", "path", F.lit(False).alias("loop")).unionByName(endless.select("repo_id", "node_id", NO_PATH().alias("path"), "loop"))
-    over = jump.select("repo_id", F.col("node_id").alias("up"), F.col("path").alias("above"), F.col("loop").alias("loop2"))
-    joined = steps.join(over, ["repo_id", "up"], "left")
-    lost = F.col("loop") | F.coalesce("loop2", F.lit(False))
-    full = joined.select("repo_id", "node_id", "parent_id", F.when(~lost, F.concat(F.coalesce("above", NO_PATH()), "path")).alias("path"))
-    below = full.where("path is not null").select("repo_id", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("node_id")).groupBy("repo_id", "node_id").agg(F.count("*").alias("n"))
-    return full.join(below, ["repo_id", "node_id"], "left").select("repo_id", "node_id", "parent_id", F.element_at("path", 1).alias("root_id"), (F.size("path") - 1).cast("bigint").alias("depth"), F.array_join("path", SEPARATOR).alias("path"), F.coalesce("n", F.lit(0)).alias("n_descendants"))
+        jump = cut(jump.join(beyond, ["repo_id", "up"], "left").select("repo_id", "node_id", F.col("up2").alias("up"), F.concat(F.coalesce("path2", F.array().cast("array<string>")), "path").alias("path")))
+    over = jump.select("repo_id", F.col("node_id").alias("up"), F.col("path").alias("above"))
+    return steps.join(over, ["repo_id", "up"], "left").select("repo_id", "node_id", F.concat(F.coalesce("above", F.array().cast("array<string>")), "path").alias("path"))
+
+
+def hierarchy(links: DataFrame, limit: int = FRAGMENT) -> DataFrame:
+    """(repo_id, node_id, parent_id, root_id, depth, path, on_cycle, n_descendants): one row per node.
 
+    A node with several parents hangs below the least of those that are on no cycle with it, and
+    the nodes of one cycle (on_cycle, exactly those of :func:`cycle_nodes`) all hang below the
+    least parent that any of them has outside; so ways up never loop and every node has a root.
+    Roots have depth 0; path is an array of ids, root first, node last. n_descendants counts the
+    nodes that links lead to, by whatever parent, the node itself excepted.
+    """
+    links = links.select(*LINK.names)
+    classes = cut(_classes(links.where("parent != child"), limit))
+    nodes = cut(_tree(links, classes))
+    below = descendant_counts(links, limit)
+    out = nodes.drop("part").join(paths(nodes.drop("on_cycle"), limit), ["repo_id", "node_id"]).join(below, ["repo_id", "node_id"], "left")
+    return out.select("repo_id", "node_id", "parent_id", F.element_at("path", 1).alias("root_id"), (F.size("path") - 1).cast("bigint").alias("depth"), "path", "on_cycle", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_descendants"))
 
-def descendants(nodes: DataFrame) -> DataFrame:
-    """(repo_id, ancestor, descendant, distance) from the rows of :func:`hierarchy`; one row per pair."""
-    way = nodes.where("depth > 0").select("repo_id", F.col("node_id").alias("descendant"), "depth", F.split("path", SEPARATOR).alias("w"))
-    each = way.select("repo_id", "descendant", "depth", F.posexplode(F.slice("w", 1, F.size("w") - 1)).alias("at", "ancestor"))
-    return each.select("repo_id", "ancestor", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
 
+# --- descendants --------------------------------------------------------------------------
 
-PAIR = "repo_id string, ancestor string, descendant string, distance bigint"
+PAIR = "repo_id string, ancestor string, descendant string"
+COUNT = "repo_id string, node_id string, n bigint"
 #: Pairs that a task holds at most before it hands them on.
 BATCH = 50_000
 
 
+def _reach(parents: list[str], children: list[str]) -> Iterator[tuple[str, set[str]]]:
+    """Each parent with all that links lead to, itself excepted."""
+    out: dict[str, list[str]] = {}
+    for a, b in zip(parents, children):
+        out.setdefault(a, []).append(b)
+    for start in out:
+        seen, todo = {start}, [start]
+        while todo:
+            for b in out.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        seen.discard(start)
+        yield start, seen
+
+
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of whole repositories (repo_id, parents, children), by a breadth-first walk from every node."""
-    rows: list[tuple[str, str, str, int]] = []
+    """The pairs of fragments (repo_id, parents, children)."""
+    rows: list[tuple[str, str, str]] = []
 
     def taken() -> pa.RecordBatch:
-        columns = list(zip(*rows)) or [()] * 4
+        columns = list(zip(*rows)) or [()] * 3
         rows.clear()
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.int64())], names=["repo_id", "ancestor", "descendant", "distance"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["repo_id", "ancestor", "descendant"])
 
     for batch in batches:
         for i in range(batch.num_rows):
             repo, parents, children = (batch.column(c)[i].as_py() for c in range(3))
-            out: dict[str, list[str]] = {}
-            for a, b in zip(parents, children):
-                out.setdefault(a, []).append(b)
-            for start in out:
-                seen, wave, distance = {start}, [start], 0
-                while wave:
-                    distance += 1
-                    wave = list({b for a in wave for b in out.get(a, ())} - seen)
-                    seen.update(wave)
-                    rows += [(repo, start, b, distance) for b in wave]
-                    if len(rows) > BATCH:
-                        yield taken()
+            for start, seen in _reach(parents, children):
+                rows += [(repo, start, b) for b in seen]
+                if len(rows) > BATCH:
+                    yield taken()
     yield taken()
 
 
-def _reachable_by_joins(links: DataFrame) -> DataFrame:
-    """The pairs by joins alone: each round doubles the distances known, joining the farthest pairs with all."""
-    key = ["repo_id", "ancestor", "descendant"]
-    pairs = cut(links.select("repo_id", F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).cast("bigint").alias("distance")))
-    span = 1
-    while not (farthest := pairs.where(F.col("distance") == span)).isEmpty():
-        first = farthest.select("repo_id", "ancestor", F.col("descendant").alias("via"), F.col("distance").alias("d1"))
-        then = pairs.select("repo_id", F.col("ancestor").alias("via"), "descendant", F.col("distance").alias("d2"))
-        longer = first.join(then, ["repo_id", "via"]).where("ancestor <> descendant").select(*key, (F.col("d1") + F.col("d2")).alias("distance"))
-        pairs = cut(pairs.unionByName(longer).groupBy(*key).agg(F.min("distance").alias("distance")))
-        span *= 2
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sizes of what :func:`_walk` lists."""
+    for batch in batches:
+        rows = [(batch.column(0)[i].as_py(), start, len(seen)) for i in range(batch.num_rows) for start, seen in _reach(batch.column(1)[i].as_py(), batch.column(2)[i].as_py())]
+        columns = list(zip(*rows)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["repo_id", "node_id", "n"])
+
+
+def _gathered(df: DataFrame) -> DataFrame:
+    """One row per fragment, which holds its links (about FRAGMENT at most, HOLD in late quotients)."""
+    return df.groupBy("repo_id", "frag").agg(F.collect_list(F.struct("parent", "child")).alias("links")).select("repo_id", "links.parent", "links.child")
+
+
+def _pairs_inside(df: DataFrame) -> DataFrame:
+    return _gathered(df).mapInArrow(_walk, PAIR)
+
+
+def _pairs_by_joins(links: DataFrame) -> DataFrame:
+    """The pairs by joins alone: each round doubles the length of the ways that are known."""
+    pairs = cut(links.select("repo_id", F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct())
+    fresh = pairs
+    while not fresh.isEmpty():
+        first = fresh.select("repo_id", "ancestor", F.col("descendant").alias("via"))
+        then = pairs.select("repo_id", F.col("ancestor").alias("via"), "descendant")
+        fresh = cut(first.join(then, ["repo_id", "via"]).where("ancestor != descendant").select(*pairs.columns).distinct().join(pairs, pairs.columns, "left_anti"))
+        pairs = cut(pairs.unionByName(fresh))
     return pairs
 
 
-def reachable(links: DataFrame, limit: int = FRAGMENT) -> DataFrame:
-    """(repo_id, ancestor, descendant, distance): each node with all nodes that links lead to; one row per pair.
+def _pairs_across(marked: DataFrame, upper: DataFrame) -> DataFrame:
+    """The pairs of split repositories: inside a fragment, or to one of its exits, on to another, and from there."""
+    inside = cut(_pairs_inside(marked))
+    doors = marked.where("pshare").select("repo_id", F.col("parent").alias("door")).unionByName(marked.where("cshare").select("repo_id", F.col("child").alias("door"))).distinct()
+    doors = cut(doors)
+    still = doors.select("repo_id", F.col("door").alias("ancestor"), F.col("door").alias("descendant"))
+    into = inside.join(doors.withColumnRenamed("door", "descendant"), ["repo_id", "descendant"], "left_semi").unionByName(still)
+    onward = inside.join(doors.withColumnRenamed("door", "ancestor"), ["repo_id", "ancestor"], "left_semi").unionByName(still)
+    over = upper.where(~F.col("ancestor").startswith(INNER) & ~F.col("descendant").startswith(INNER)).select("repo_id", F.col("ancestor").alias("a"), F.col("descendant").alias("b"))
+    over = over.unionByName(doors.select("repo_id", F.col("door").alias("a"), F.col("door").alias("b")))
+    far = into.select("repo_id", "ancestor", F.col("descendant").alias("a")).join(over, ["repo_id", "a"]).select("repo_id", "ancestor", "b").distinct()
+    far = far.join(onward.select("repo_id", F.col("ancestor").alias("b"), "descendant"), ["repo_id", "b"]).where("ancestor != descendant").select("repo_id", "ancestor", "descendant")
+    return inside.unionByName(far).distinct()
+
+
+def descendants(links: DataFrame, limit: int = FRAGMENT) -> DataFrame:
+    """(repo_id, ancestor, descendant): each node with all nodes that links lead to; one row per pair.
 
-    All parents of a node count, loops included; distance is the least number of links. A node
-    is not listed as its own descendant, though it may lie on a loop. Repositories of at most
-    limit links are walked by one task each, which holds the links but not the pairs; larger
-    ones are joined.
+    All parents of a node count, loops included. A node is not listed as its own descendant,
+    though it may lie on a loop.
     """
-    frags = cut(_fragments(links.where("parent <> child").select(*LINK.names), limit))
-    small = frags.where("frag = 0").groupBy("repo_id").agg(F.collect_list(F.struct("parent", "child")).alias("links"))
-    pairs = small.select("repo_id", "links.parent", "links.child").mapInArrow(_walk, PAIR)
-    split = frags.where("frag > 0")
-    return pairs if split.isEmpty() else pairs.unionByName(_reachable_by_joins(split))
+    return _solved(links.where("parent != child").select(*LINK.names), limit, None, _pairs_inside, _pairs_by_joins, _pairs_across)
+
+
+def descendant_counts(links: DataFrame, limit: int = FRAGMENT) -> DataFrame:
+    """(repo_id, node_id, n): how many descendants each parent has; pairs are only made up in split repositories."""
+
+    def counted(df: DataFrame) -> DataFrame:
+        return df.groupBy("repo_id", F.col("ancestor").alias("node_id")).agg(F.count("*").alias("n"))
+
+    frags = cut(_fragments(links.where("parent != child").select(*LINK.names), limit))
+    whole = _gathered(frags.where("frag = 0")).mapInArrow(_count, COUNT)
+    split = frags.where("frag != 0").drop("frag")
+    return whole if split.isEmpty() else whole.unionByName(counted(descendants(split, limit)))

@@ -35,20 +35,27 @@ links AS (SELECT DISTINCT repo_id, source_id AS parent, target_id AS child FROM
   WHERE kind IN ('contains', 'declares') AND source_id IS NOT NULL AND target_id IS NOT NULL)
 """
 
-_TREE = _LINKS + """,
-up AS (SELECT repo_id, child, min(parent) AS parent FROM links WHERE parent <> child GROUP BY ALL),
-ids AS (SELECT DISTINCT repo_id, unnest([parent, child]) AS node_id FROM links),
+_REACH = _LINKS + """,
+reach AS (SELECT repo_id, parent AS a, child AS b FROM links UNION SELECT r.repo_id, r.a, l.child FROM reach r JOIN links l ON l.repo_id = r.repo_id AND l.parent = r.b)
+"""
+
+_TREE = _REACH + """,
+class AS (SELECT x.repo_id, x.a AS node_id, min(x.b) AS class FROM reach x JOIN reach y ON x.repo_id = y.repo_id AND x.a = y.b AND x.b = y.a GROUP BY ALL),
+ids AS (SELECT i.*, coalesce(c.class, i.node_id) AS class, c.class IS NOT NULL AS on_cycle FROM (SELECT DISTINCT repo_id, unnest([parent, child]) AS node_id FROM links) i LEFT JOIN class c ON c.repo_id = i.repo_id AND c.node_id = i.node_id),
+outside AS (SELECT l.repo_id, c.class, min(l.parent) AS parent FROM links l JOIN ids p ON p.repo_id = l.repo_id AND p.node_id = l.parent JOIN ids c ON c.repo_id = l.repo_id AND c.node_id = l.child WHERE p.class <> c.class GROUP BY ALL),
+up AS (SELECT i.repo_id, i.node_id AS child, o.parent FROM ids i JOIN outside o ON o.repo_id = i.repo_id AND o.class = i.class),
 tree AS (
-  SELECT i.repo_id, i.node_id, NULL::VARCHAR AS parent_id, i.node_id AS root_id, 0::BIGINT AS depth, i.node_id AS path
+  SELECT i.repo_id, i.node_id, NULL::VARCHAR AS parent_id, i.node_id AS root_id, 0::BIGINT AS depth, [i.node_id] AS path
   FROM ids i LEFT JOIN up u ON u.repo_id = i.repo_id AND u.child = i.node_id WHERE u.child IS NULL
   UNION ALL
-  SELECT u.repo_id, u.child, u.parent, t.root_id, t.depth + 1, t.path || ' > ' || u.child FROM tree t JOIN up u ON u.repo_id = t.repo_id AND u.parent = t.node_id),
-pairs AS (
-  SELECT u.repo_id, u.parent AS ancestor, u.child AS descendant, 1::BIGINT AS distance FROM up u SEMI JOIN tree t ON t.repo_id = u.repo_id AND t.node_id = u.child
-  UNION ALL
-  SELECT p.repo_id, u.parent, p.descendant, p.distance + 1 FROM pairs p JOIN up u ON u.repo_id = p.repo_id AND u.child = p.ancestor)
+  SELECT u.repo_id, u.child, u.parent, t.root_id, t.depth + 1, list_append(t.path, u.child) FROM tree t JOIN up u ON u.repo_id = t.repo_id AND u.parent = t.node_id)
 """
 
+_HIERARCHY = f"""WITH RECURSIVE {_TREE}
+        SELECT i.repo_id, i.node_id, t.parent_id, t.root_id, t.depth, to_json(t.path)::VARCHAR AS path, i.on_cycle, coalesce(n.n, 0)::BIGINT AS n_descendants
+        FROM ids i LEFT JOIN tree t ON t.repo_id = i.repo_id AND t.node_id = i.node_id
+        LEFT JOIN (SELECT repo_id, a, count(*) AS n FROM reach WHERE a <> b GROUP BY ALL) n ON n.repo_id = i.repo_id AND n.a = i.node_id"""
+
 _PLAN = r"""
 lastrun AS (SELECT repo_id, arg_max(run_id, (completed_at, run_id)) AS run_id FROM runs WHERE status = 'Completed' AND completed_at IS NOT NULL GROUP BY repo_id),
 st AS (SELECT s.repo_id, s.run_id, arg_max(s.sources, s.recorded_at) AS sources FROM index_states s JOIN lastrun l ON s.repo_id = l.repo_id AND s.run_id = l.run_id GROUP BY ALL),
@@ -203,14 +210,10 @@ ORACLES = _GRAPH | {
     "p2_found": f"""WITH {_PUBLISHED},
         final AS (SELECT repo_id, plugin_id, unit_id, arg_max(kind, w_at) AS kind, arg_max(seq, w_at) AS seq FROM acting GROUP BY ALL)
         SELECT repo_id, plugin_id, unit_id, seq FROM final WHERE kind LIKE '%replace'""",
-    "p6_found": f"""WITH RECURSIVE {_LINKS},
-        reach AS (SELECT repo_id, parent AS a, child AS b FROM links UNION SELECT r.repo_id, r.a, l.child FROM reach r JOIN links l ON l.repo_id = r.repo_id AND l.parent = r.b)
-        SELECT DISTINCT repo_id, a AS node_id FROM reach WHERE a = b""",
-    "p6_hierarchy": f"""WITH RECURSIVE {_TREE}
-        SELECT i.repo_id, i.node_id, u.parent AS parent_id, t.root_id, t.depth, t.path, coalesce(n.n, 0)::BIGINT AS n_descendants
-        FROM ids i LEFT JOIN up u ON u.repo_id = i.repo_id AND u.child = i.node_id LEFT JOIN tree t ON t.repo_id = i.repo_id AND t.node_id = i.node_id
-        LEFT JOIN (SELECT repo_id, ancestor, count(*) AS n FROM pairs GROUP BY ALL) n ON n.repo_id = i.repo_id AND n.ancestor = i.node_id""",
-    "p6_descendants": f"WITH RECURSIVE {_TREE} SELECT repo_id, ancestor, descendant, distance FROM pairs",
+    "p6_found": f"WITH RECURSIVE {_REACH} SELECT DISTINCT repo_id, a AS node_id FROM reach WHERE a = b",
+    "p6_hierarchy": _HIERARCHY,
+    "p6_split": _HIERARCHY,
+    "p6_descendants": f"WITH RECURSIVE {_REACH} SELECT repo_id, a AS ancestor, b AS descendant FROM reach WHERE a <> b",
     "p7_found": f"WITH {_PLAN} SELECT DISTINCT repo_id, plugin_id, path FROM plan WHERE change IN ('New', 'Changed')",
     "p7_plan": f"WITH {_PLAN} SELECT repo_id, change, count(*) AS n FROM plan GROUP BY ALL",
 }

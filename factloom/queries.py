@@ -39,24 +39,28 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return replay.published_units(table(spark, d, "command_log"))
 
 
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return cut(hierarchy.hierarchy_links(table(spark, d, "edges")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Nodes on a cycle of contains and declares edges."""
-    return hierarchy.cycle_nodes(cut(hierarchy.hierarchy_links(table(spark, d, "edges"))))
+    return hierarchy.cycle_nodes(_links(spark, d))
 
 
 def p6_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    """Parent, root, depth, path and number of descendants of each node."""
-    return hierarchy.hierarchy(cut(hierarchy.hierarchy_links(table(spark, d, "edges"))))
+    """Parent, root, depth, path (a JSON array), cycle mark and number of descendants of each node."""
+    return hierarchy.hierarchy(_links(spark, d)).withColumn("path", F.to_json("path"))
 
 
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Each node with each of its descendants."""
-    return hierarchy.descendants(p6_hierarchy(spark, d))
+    """Each node with each of its descendants over all links."""
+    return hierarchy.descendants(_links(spark, d))
 
 
-def p6_reachable(spark: SparkSession, d: str) -> DataFrame:
-    """Each node with each of its descendants over all links, not only those of the tree."""
-    return hierarchy.reachable(cut(hierarchy.hierarchy_links(table(spark, d, "edges"))))
+def p6_split(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p6_hierarchy, from fragments so small that most repositories are split."""
+    return hierarchy.hierarchy(_links(spark, d), 100).withColumn("path", F.to_json("path"))
 
 
 def _changed(spark: SparkSession, d: str) -> DataFrame:
@@ -289,4 +293,4 @@ def extract_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 OWN = (merge_nodes, merge_edges, merge_declarations, provenance_nodes, violations, violations_first, symbol_batch, symbol_by_id, name_pattern_topk, name_pattern_total, discovery_unscoped, declarations_of_symbol, declarations_in_file, enclosing_symbol, *map(_preset, lookup.PRESETS), neighborhood, impact_d2, impact_budgeted, affected_tests, symbols_in_project, public_surface, exercised_by, documentation_merge, coverage_rollup, source_freshness, index_identities, log_fold, unit_overlay, obsolete_units, run_diagnostics, health, module_resolution, extract_facts)
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p6_found, p6_hierarchy, p6_descendants, p6_reachable, p7_found, p7_plan, *OWN)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p6_found, p6_hierarchy, p6_descendants, p6_split, p7_found, p7_plan, *OWN)}

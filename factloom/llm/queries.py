@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding, mixing, sources, tokens
+from . import encoding, mixing, origin, sources, tokens
 from .sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -21,6 +22,18 @@ def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
     return sources.kinds_of(table(spark, d, "source_files"))
 
 
+#: Attribute files that p3_declared adds to every repository: (path, content).
+ATTRIBUTES = ((".gitattributes", "*.ex linguist-generated\nweb/** linguist-vendored\n*Plan.* -linguist-vendored\n"), ("web/.gitattributes", "*View.js linguist-vendored\n*Store.js linguist-generated=false\n"))
+
+
+def p3_declared(spark: SparkSession, d: str) -> DataFrame:
+    """What two attribute files in every repository would declare of its files."""
+    files = table(spark, d, "source_files").select("file_id", "repo_id", "path").distinct()
+    attributes = files.select("repo_id").distinct().withColumn("a", F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(c).alias("content")) for p, c in ATTRIBUTES]))).select("repo_id", "a.*")
+    said = origin.declared(files, attributes)
+    return said.select("file_id", F.array_contains("yes", "generated").alias("generated"), F.array_contains("yes", "vendored").alias("vendored"), F.array_contains("no", "vendored").alias("not_vendored"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Files that are not valid in the language of their extension."""
     return sources.invalid_files(table(spark, d, "source_files")).where("invalid is not null").select("file_id").distinct()
@@ -71,4 +84,4 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.wrongly_decoded(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_kinds, p4_found, p4_rates, p5_found, p5_pairs, p8_ids, p9_mix, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_kinds, p3_declared, p4_found, p4_rates, p5_found, p5_pairs, p8_ids, p9_mix, p9_shares, p10_found, p10_restored)}

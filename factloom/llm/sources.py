@@ -13,56 +13,52 @@ from ..session import cut
 from . import docs, origin, validity
 from ..functions.lexers import LEX, language_of
 
-OUT = "file_id {id}, repo_id string, path string, language string, evidence string, invalid string, functions array<struct<fn_line:bigint,fn_name:string,doc:string>>"
+OUT = "file_id {id}, repo_id string, path string, language string, kinds array<string>, said array<array<string>>, invalid string, functions array<struct<fn_line:bigint,fn_name:string,doc:string>>, content string"
 #: Interpreters named in a first line that are those of other languages.
 _FOREIGN = re.compile(r"﻿?#![^\r\n]*\b(?:ba|z|k|da)?sh\b|﻿?#![^\r\n]*\b(?:python|perl|ruby|php|pwsh)[\d.]*\b")
 
 
-def look(path: str | None, content: str | None, kinds: bool, functions: bool) -> tuple[str | None, str | None, str | None, list]:
-    """(language, evidence, why it is invalid, functions) of one file."""
+def look(path: str | None, content: str | None, kinds: bool, functions: bool) -> tuple[str | None, list[str] | None, list[list[str]] | None, str | None, list]:
+    """(language, kinds, phrases of remarks, why it is invalid, functions) of one file."""
     language = language_of(path)
     if not content or language is None:
-        return language, None, None, []
+        return language, None, None, None, []
     tokens = LEX[language](content)
-    evidence = origin.declared_kind(content, language, tokens) if kinds else None
+    shown, said = origin.declared_kinds(content, language, tokens) if kinds else (None, None)
     wrong = validity.check(tokens, language) if not (kinds and not functions) else None
     if wrong is None and _FOREIGN.match(content):
         wrong = ("language", 0)
     invalid = f"{wrong[0]} at {tokens.start[wrong[1]] if 0 <= wrong[1] < len(tokens.start) else 'end'}" if wrong else None
-    found = docs.documented(content, language, tokens) if functions and not evidence and not invalid else []
-    return language, evidence, invalid, found
+    found = docs.documented(content, language, tokens) if functions and not invalid else []
+    return language, shown, said, invalid, found
+
+
+_PAIRS = pa.list_(pa.struct([("fn_line", pa.int64()), ("fn_name", pa.string()), ("doc", pa.string())]))
 
 
 def examine(files: DataFrame, kinds: bool = True, functions: bool = True) -> DataFrame:
-    """One row per input row, without its content: language, evidence (kinds), invalid, functions.
+    """One row per input row: language, kinds shown and phrases of remarks (kinds), invalid, functions.
 
     files: (file_id, repo_id, path, content). With kinds only, files are not parsed; without
-    kinds, no evidence is sought. Null and empty contents and unknown extensions give nulls.
+    kinds, none are sought. Null and empty contents and unknown extensions give nulls. Of the
+    contents only those of attribute files are kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [look(p, c, kinds, functions) for p, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            pairs = [[{"fn_line": a, "fn_name": b, "doc": c} for a, b, c in r[3]] for r in rows]
-            kind = pa.list_(pa.struct([("fn_line", pa.int64()), ("fn_name", pa.string()), ("doc", pa.string())]))
-            texts = [pa.array([r[k] for r in rows], pa.string()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *texts, pa.array(pairs, kind)], names=["file_id", "repo_id", "path", "language", "evidence", "invalid", "functions"])
+            paths, contents = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            rows = [look(p, c, kinds, functions) for p, c in zip(paths, contents)]
+            pairs = [[{"fn_line": a, "fn_name": b, "doc": c} for a, b, c in r[4]] for r in rows]
+            kept = [c if p is not None and re.split(r"[\\/]", p)[-1] == ".gitattributes" else None for p, c in zip(paths, contents)]
+            columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.list_(pa.list_(pa.string()))), pa.array([r[3] for r in rows], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, pa.array(pairs, _PAIRS), pa.array(kept, pa.string())], names=["file_id", "repo_id", "path", "language", "kinds", "said", "invalid", "functions", "content"])
 
     return files.select("file_id", "repo_id", "path", "content").mapInArrow(run, OUT.format(id=files.schema["file_id"].dataType.simpleString()))
 
 
-def _with_attributes(seen: DataFrame, files: DataFrame) -> DataFrame:
-    """seen with the content of attribute files only."""
-    base = F.element_at(F.split(F.translate("path", "\\", "/"), "/"), -1)
-    rows = files.where(base == ".gitattributes").select("file_id", "repo_id", "path", "content", F.lit(None).cast("string").alias("evidence"))
-    plain = seen.where(F.coalesce(F.element_at(F.split(F.translate("path", "\\", "/"), "/"), -1) != ".gitattributes", F.lit(True)))
-    return plain.select("file_id", "repo_id", "path", F.lit(None).cast("string").alias("content"), "evidence").unionByName(rows)
-
-
 def kinds_of(files: DataFrame) -> DataFrame:
     """(file_id, kind) of the files that are not hand-written source."""
-    seen = cut(examine(files, kinds=True, functions=False))
-    return origin.not_handwritten(_with_attributes(seen, files))
+    return origin.not_handwritten(cut(examine(files, kinds=True, functions=False).drop("functions", "invalid", "language")))
 
 
 def invalid_files(files: DataFrame) -> DataFrame:
@@ -80,6 +76,6 @@ def rates(files: DataFrame) -> DataFrame:
 def documented_functions(files: DataFrame) -> DataFrame:
     """(file_id, repo_id, path, fn_line, fn_name, doc), distinct: pairs from valid, hand-written files."""
     seen = cut(examine(files))
-    other = origin.not_handwritten(_with_attributes(seen, files)).select("file_id")
-    pairs = seen.where("invalid is null and evidence is null and size(functions) > 0").join(other, "file_id", "left_anti")
+    other = origin.not_handwritten(seen).select("file_id")
+    pairs = seen.where("invalid is null and size(functions) > 0").join(other, "file_id", "left_anti")
     return pairs.select("file_id", "repo_id", "path", F.explode("functions").alias("f")).select("file_id", "repo_id", "path", "f.fn_line", "f.fn_name", "f.doc").distinct()

@@ -207,6 +207,17 @@ ORACLES = _GRAPH | {
         b AS (SELECT ref_table, ref_column, repo_id, ref_id, min(w_at) AS w_at FROM orphan GROUP BY ALL),
         m AS (SELECT ref_table, ref_column, strftime(w_at, '%Y-%m') AS month, 1 AS n, 0 AS o FROM a UNION ALL SELECT ref_table, ref_column, strftime(w_at, '%Y-%m'), 0, 1 FROM b)
         SELECT ref_table, ref_column, month, sum(n)::BIGINT AS n_refs, sum(o)::BIGINT AS n_orphans FROM m GROUP BY ALL""",
+    "p1_snapshots": f"""WITH {_ORPHANS},
+        life AS (SELECT 'node' AS parent, repo_id, node_id AS key, written_at AS a, deleted_at AS z FROM nodes UNION ALL SELECT 'run', repo_id, run_id, started_at, NULL FROM runs),
+        ev AS (SELECT w_at AS t FROM refs WHERE key IS NOT NULL UNION ALL SELECT a FROM life UNION ALL SELECT z FROM life WHERE z IS NOT NULL),
+        low AS (SELECT min(year(t) * 4 + quarter(t) - 1) AS b FROM (SELECT a AS t FROM life UNION ALL SELECT z FROM life)),
+        p AS (SELECT DISTINCT coalesce(year(t) * 4 + quarter(t) - 1, (SELECT b FROM low)) AS batch FROM ev),
+        r AS (SELECT *, coalesce(year(w_at) * 4 + quarter(w_at) - 1, (SELECT b FROM low)) AS b FROM refs WHERE key IS NOT NULL),
+        l AS (SELECT parent, repo_id, key, coalesce(year(a) * 4 + quarter(a) - 1, (SELECT b FROM low)) AS b, CASE WHEN z IS NOT NULL THEN year(z) * 4 + quarter(z) - 1 END AS e FROM life),
+        live_at AS (SELECT DISTINCT p.batch, l.parent, l.repo_id, l.key FROM p JOIN l ON l.b <= p.batch AND (l.e IS NULL OR l.e > p.batch)),
+        o AS (SELECT DISTINCT p.batch, r.ref_table, r.ref_column, r.repo_id, r.ref_id, strftime(r.w_at, '%Y-%m') AS month FROM p JOIN r ON r.b <= p.batch
+          ANTI JOIN live_at x ON x.batch = p.batch AND x.parent = r.parent AND x.repo_id = r.repo_id AND x.key = r.key)
+        SELECT batch, ref_table, ref_column, month, count(*) AS n_orphans FROM o GROUP BY ALL""",
     "p2_found": f"""WITH {_PUBLISHED},
         final AS (SELECT repo_id, plugin_id, unit_id, arg_max(kind, w_at) AS kind, arg_max(seq, w_at) AS seq FROM acting GROUP BY ALL)
         SELECT repo_id, plugin_id, unit_id, seq FROM final WHERE kind LIKE '%replace'""",

@@ -11,16 +11,19 @@ from .sources import extract
 
 
 def _orphan_state(spark: SparkSession, d: str) -> orphans.OrphanState:
+    """The state after the tables, applied quarter by quarter."""
     edges, decl = table(spark, d, "edges"), table(spark, d, "declarations")
     nodes, units, runs = (table(spark, d, t) for t in ("nodes", "units", "runs"))
     refs = (
-        orphans.references(edges, "edges", "source_id", "edge_id", "node", "written_at")
-        .unionByName(orphans.references(edges, "edges", "target_id", "edge_id", "node", "written_at"))
-        .unionByName(orphans.references(decl, "declarations", "symbol_node_id", "declaration_id", "node", "written_at"))
-        .unionByName(orphans.references(units, "units", "run_id", "unit_id", "run", "recorded_at"))
+        orphans.references(edges, "edges", "node", "edge_id", "written_at", "source_id", "target_id")
+        .unionByName(orphans.references(decl, "declarations", "node", "declaration_id", "written_at", "symbol_node_id"))
+        .unionByName(orphans.references(units, "units", "run", "unit_id", "recorded_at", "run_id"))
     )
-    parents = orphans.parent_events(nodes, "node", "node_id", "written_at", "deleted_at").unionByName(orphans.parent_events(runs, "run", "run_id", "started_at"))
-    return orphans.OrphanState().apply(refs, parents)
+    events = orphans.parent_events(nodes, "node", "node_id", "written_at", "deleted_at", ("plugin_id", "unit_id")).unionByName(orphans.parent_events(runs, "run", "run_id", "started_at"))
+    state = orphans.OrphanState(spark, scratch(spark, "orphans"))
+    first = events.agg(F.min(orphans.quarter(F.col("at"), 1 << 30))).first()[0]
+    state.append(refs, events, orphans.quarter(F.col("at"), first or 0))
+    return state.replay()
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +34,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     """References and orphans per table, column and month."""
     state = _orphan_state(spark, d)
-    return orphans.orphan_counts(state.refs, state.pending)
+    return orphans.orphan_counts(state.refs(), state.pending())
+
+
+def p1_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Open references after every quarter, per table, column and month of the reference."""
+    return _orphan_state(spark, d).snapshots()
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -293,4 +301,4 @@ def extract_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 OWN = (merge_nodes, merge_edges, merge_declarations, provenance_nodes, violations, violations_first, symbol_batch, symbol_by_id, name_pattern_topk, name_pattern_total, discovery_unscoped, declarations_of_symbol, declarations_in_file, enclosing_symbol, *map(_preset, lookup.PRESETS), neighborhood, impact_d2, impact_budgeted, affected_tests, symbols_in_project, public_surface, exercised_by, documentation_merge, coverage_rollup, source_freshness, index_identities, log_fold, unit_overlay, obsolete_units, run_diagnostics, health, module_resolution, extract_facts)
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p6_found, p6_hierarchy, p6_descendants, p6_split, p7_found, p7_plan, *OWN)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_snapshots, p2_found, p6_found, p6_hierarchy, p6_descendants, p6_split, p7_found, p7_plan, *OWN)}

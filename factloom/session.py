@@ -55,11 +55,10 @@ def without_estimates(df: DataFrame) -> DataFrame:
     of millions of digits. Adaptive execution goes by the sizes that are met anyway.
     """
     spark = df.sparkSession
-    try:
-        plain = spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False)
-    except Exception:  # not the classic session: keep the checkpoint as it is
+    make = getattr(getattr(spark, "_jsparkSession", None), "internalCreateDataFrame", None)
+    if make is None:  # a remote session: keep the checkpoint as it is
         return df
-    return DataFrame(plain, spark)
+    return DataFrame(make(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -67,6 +66,47 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Folder:
+    """Files of a shared file system below one path, for markers and manifests."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.path = path.rstrip("/")
+        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self._fs = self._jpath("").getFileSystem(self._conf)
+
+    def _jpath(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._jpath(name))
+
+    def names(self, name: str = "") -> list[str]:
+        """What lies directly below a name; nothing if it does not exist."""
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(self._jpath(name))) if self.exists(name) else []
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._jpath(name))
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Written beside and renamed, so that a reader sees all of it or nothing."""
+        part = f"{name}.{uuid.uuid4().hex}.part"
+        stream = self._fs.create(self._jpath(part), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        self.delete(name)
+        if not self._fs.rename(self._jpath(part), self._jpath(name)):
+            raise OSError(f"{name} could not be written")
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._jpath(name), True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
     importable(spark)

@@ -49,10 +49,10 @@ def unit_states(facts: DataFrame) -> DataFrame:
     at most; a fact id may not come twice with different bodies. One bad batch spoils the unit.
     """
     twice = facts.where("fact_id is not null").groupBy(*UNIT, "fact", "fact_id").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("not (a <=> b)").groupBy(*UNIT).agg(F.lit(True).alias("twice"))
-    s = facts.groupBy(*UNIT).agg(F.bool_or("completes").alias("complete"), F.min("plugin_version").alias("v0"), F.max("plugin_version").alias("v1"), F.approx_count_distinct("batch").alias("b0"), (F.max("batch") - F.min("batch") + 1).alias("b1"), F.count("fact_id").alias("n"))
+    s = facts.groupBy(*UNIT).agg(F.bool_or("completes").alias("complete"), F.min("plugin_version").alias("v0"), F.max("plugin_version").alias("v1"), F.count_distinct("batch").alias("batches"), F.count("fact_id").alias("n"))
     why = (
         F.when(~F.col("v0").eqNullSafe(F.col("v1")), "ingestion.origin.changed")
-        .when((F.least("b0", "b1") > UNIT_BATCHES) | (F.col("n") > UNIT_FACTS), "ingestion.index-unit.limit")
+        .when((F.col("batches") > UNIT_BATCHES) | (F.col("n") > UNIT_FACTS), "ingestion.index-unit.limit")
         .when(F.coalesce("twice", F.lit(False)), "ingestion.index-unit.rejected")
     )
     return s.join(twice, UNIT, "left").select(*UNIT, "complete", F.col("n").alias("facts"), why.alias("rejected"))
@@ -104,15 +104,14 @@ def fold_log(stream: DataFrame, path: str, checkpoint: str, slot: list[str], seq
 def track_orphans(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Applies a stream of references and parent events to the state of pending references.
 
-    Rows have the columns of both forms; ``delta`` is null for references.
+    Rows have the columns of both forms; ``contribution`` is null for references. A micro-batch
+    that is replayed writes its part of the log again and is not applied twice.
     """
-    spark = stream.sparkSession
+    state = OrphanState(stream.sparkSession, path)
 
     def step(batch: DataFrame, epoch: int) -> None:
-        held = [Epochs(spark, f"{path}/{name}").before(epoch) for name in ("parents", "refs", "pending")]
-        state = OrphanState(*held) if held[0] is not None else OrphanState()
-        new = state.apply(batch.where("delta is null"), batch.where("delta is not null").select("parent", "repo_id", "key", "delta", "at"))
-        for name in ("refs", "pending", "parents"):  # parents last: with them the epoch counts
-            Epochs(spark, f"{path}/{name}").write(epoch, getattr(new, name))
+        if not state.applied(epoch):
+            state.append(batch.where("contribution is null"), batch.where("contribution is not null"), epoch)
+            state.apply(epoch)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

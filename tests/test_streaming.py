@@ -1,3 +1,4 @@
+from factloom.operators.orphans import OrphanState
 from factloom.streaming import ingest as g
 
 
@@ -39,12 +40,11 @@ def test_log_is_folded_whatever_the_order(spark, tmp_path):
 
 def test_orphans_over_a_stream(spark, tmp_path):
     src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
-    schema = "parent string, repo_id string, key string, ref_table string, ref_column string, ref_id string, at timestamp_ntz, delta int"
-    ref = lambda key, i: ("node", "r", key, "edges", "target_id", i, None, None)
-    event = lambda key, n: ("node", "r", key, None, None, None, None, n)
-    want = [{"1", "2"}, {"2"}, {"1", "2"}]
-    for rows, pending in zip(([ref("a", "1"), ref("b", "2"), event("c", 1)], [event("a", 1), ref("a", "3"), ref("c", "4")], [event("a", -1)]), want):
+    schema = "parent string, repo_id string, key string, ref_table string, ref_column string, ref_id string, at timestamp_ntz, contribution bigint, gone boolean"
+    ref = lambda key, i: ("node", "r", key, "edges", "target_id", i, None, None, None)
+    event = lambda key, c, gone: ("node", "r", key, None, None, None, None, c, gone)
+    batches = ([ref("a", "1"), ref("b", "2"), event("c", 1, False)], [event("a", 1, False), ref("a", "3"), ref("c", "4")], [event("a", 1, True), event("a", 1, False)])
+    for rows, want in zip(batches, ({"1", "2"}, {"2"}, {"1", "2", "3"})):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(src)
         g.track_orphans(spark.readStream.schema(schema).json(src), out, cp).awaitTermination()
-        got = {r.ref_id for r in g.Epochs(spark, f"{out}/pending").before(1 << 60).collect()}
-        assert pending <= got and got - pending <= {"3"} and ("3" in got) == (rows[0] == event("a", -1))
+        assert {r.ref_id for r in OrphanState(spark, out).orphans().collect()} == want

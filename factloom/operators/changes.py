@@ -9,9 +9,13 @@ replayed, and the sink keeps one record per (partition, key, offset).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import Folder
+
 KEY = ["repo_id", "plugin_id", "path"]
 PLAN = "repo_id string, plugin_id string, path string, plugin_version string, digest string, change string, offset string"
 
@@ -57,13 +61,18 @@ def current_sources(source_files: DataFrame) -> DataFrame:
 
 
 def plan_changes(source_files: DataFrame, runs: DataFrame, index_states: DataFrame, keep_all: bool = False) -> DataFrame:
+    """:func:`compared` against what the last successful runs had indexed."""
+    return compared(source_files, committed_sources(runs, index_states), keep_all)
+
+
+def compared(source_files: DataFrame, was: DataFrame, keep_all: bool = False) -> DataFrame:
     """Each current source with its change (New or Changed; with keep_all also Unchanged and Deleted).
 
-    Deleted rows have the committed path's notation. Null plugins, paths and digests are
-    compared as values; a source without digest is Changed unless the committed one lacks it too.
+    was: what had been indexed (see :func:`committed_sources`). Deleted rows have the committed
+    path's notation. Null plugins, paths and digests are compared as values; a source without
+    digest is Changed unless the committed one lacks it too.
     """
     now = current_sources(source_files).withColumn("npath", norm_path(F.col("path")))
-    was = committed_sources(runs, index_states)
     a, b = now.alias("a"), was.alias("b")
     same = (F.col("a.repo_id").eqNullSafe(F.col("b.repo_id"))) & F.col("a.plugin_id").eqNullSafe(F.col("b.plugin_id")) & F.col("a.npath").eqNullSafe(F.col("b.npath"))
     both = a.join(b, same, "full" if keep_all else "left")
@@ -81,29 +90,90 @@ def plan_changes(source_files: DataFrame, runs: DataFrame, index_states: DataFra
     return out if keep_all else out.where(F.col("change").isin("New", "Changed"))
 
 
+OFFSETS = "repo_id string, plugin_id string, npath string, plugin_version string, digest string, offset string"
+
+
 class ChangeLog:
-    """Write-ahead plans and the deduplicating sink below one folder of a shared file system."""
+    """Offsets, write-ahead plans and the deduplicating sink below one folder of a shared file system.
+
+    * ``offsets/<n>``: what each repository had indexed after batch n (its manifest) and the name
+      of that state. Offsets advance only after a batch has reached the sink,
+    * ``wal/<n>``: the plan of batch n, written before anything of it is delivered,
+    * ``sink/<n>/<attempt>``: what was delivered; readers see the attempt that ``commits/<n>``
+      names, which is written by a rename, so a delivery is seen whole or not at all.
+
+    :meth:`run` first finishes a batch that was broken off, from its plan, and then starts a new one.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
-    def plan(self, batch: str, compute) -> DataFrame:
-        """The batch's plan: read from the log if it is committed there, else computed and written ahead."""
-        at = f"{self.path}/wal/{batch}"
-        if not self._exists(f"{at}/_SUCCESS"):  # written last, by the job's commit
-            compute().write.mode("overwrite").parquet(at)
-        return self.spark.read.schema(PLAN).parquet(at)
-
-    def deliver(self, batch: str) -> None:
-        """The batch's records to the sink; a repeated delivery overwrites its own part only."""
-        plan = self.spark.read.schema(PLAN).parquet(f"{self.path}/wal/{batch}")
-        plan.write.mode("overwrite").parquet(f"{self.path}/sink/batch={batch}")
-
-    def sink(self) -> DataFrame:
-        """What was delivered, one row per (repo_id, plugin_id, path, digest, plugin_version, offset)."""
-        read = self.spark.read.schema(PLAN).parquet(f"{self.path}/sink/batch=*")
-        return read.dropDuplicates([*KEY, "plugin_version", "digest", "offset"])
+        self.folder = Folder(spark, path)
+
+    def _done(self, name: str) -> list[int]:
+        return sorted(int(n) for n in self.folder.names(name) if n.isdigit() and (name == "commits" or self.folder.exists(f"{name}/{n}/_SUCCESS")))
+
+    def start(self, committed: DataFrame) -> None:
+        """Takes over the offsets of earlier runs (see :func:`committed_sources`); a log that has some keeps its own."""
+        if not self._done("offsets"):
+            committed.write.mode("overwrite").parquet(f"{self.path}/offsets/0")
+
+    def offsets(self) -> DataFrame:
+        """(repo_id, plugin_id, npath, plugin_version, digest, offset) after the last finished batch."""
+        done = self._done("offsets")
+        if not done:
+            return self.spark.createDataFrame([], OFFSETS)
+        return self.spark.read.schema(OFFSETS).parquet(f"{self.path}/offsets/{done[-1]}")
+
+    def plan(self, batch: int, source_files: DataFrame) -> DataFrame:
+        """The batch's plan: read from the log if it is there, else computed against the offsets and written ahead."""
+        at = f"wal/{batch}"
+        if not self.folder.exists(f"{at}/_SUCCESS"):  # written last, by the job's commit
+            compared(source_files, self.offsets(), keep_all=True).write.mode("overwrite").parquet(f"{self.path}/{at}")
+        return self._plan(batch)
+
+    def _plan(self, batch: int) -> DataFrame:
+        return self.spark.read.schema(PLAN).parquet(f"{self.path}/wal/{batch}")
+
+    def deliver(self, batch: int) -> None:
+        """The batch's new and changed records to the sink, once: a batch that is committed is not delivered again."""
+        if self.folder.exists(f"commits/{batch}"):
+            return
+        attempt = uuid.uuid4().hex
+        self._plan(batch).where(F.col("change").isin("New", "Changed")).write.parquet(f"{self.path}/sink/{batch}/{attempt}")
+        self.folder.write(f"commits/{batch}", attempt)
+
+    def advance(self, batch: int) -> None:
+        """The offsets after a batch: every repository has indexed what the plan says it has now.
+
+        Repositories that the batch did not see keep their offsets.
+        """
+        if self.folder.exists(f"offsets/{batch}/_SUCCESS"):
+            return
+        plan, before = self._plan(batch), self.offsets()
+        seen = plan.where("change != 'Deleted'").select("repo_id").distinct().withColumnRenamed("repo_id", "_r")
+        now = plan.where("change != 'Deleted'").select("repo_id", "plugin_id", norm_path(F.col("path")).alias("npath"), "plugin_version", "digest", F.lit(f"batch-{batch}").alias("offset"))
+        kept = before.join(seen, before["repo_id"].eqNullSafe(seen["_r"]), "left_anti")
+        now.unionByName(kept).write.mode("overwrite").parquet(f"{self.path}/offsets/{batch}")
+
+    def run(self, source_files: DataFrame) -> int:
+        """Finishes what was broken off, else processes the next batch; gives the number of the batch."""
+        planned, finished = self._done("wal"), self._done("offsets")
+        last = finished[-1] if finished else 0
+        batch = planned[-1] if planned and planned[-1] > last else last + 1
+        self.plan(batch, source_files)
+        self.deliver(batch)
+        self.advance(batch)
+        return batch
+
+    def sink(self, batch: int | None = None) -> DataFrame:
+        """What was delivered, of one batch or of all, with the column batch.
+
+        One row per (repo_id, plugin_id, path, digest, plugin_version, offset); of several the
+        change of the earliest batch.
+        """
+        numbers = [batch] if batch is not None else self._done("commits")
+        out = self.spark.createDataFrame([], PLAN).withColumn("batch", F.lit(0))
+        for n in numbers:
+            out = out.unionByName(self.spark.read.schema(PLAN).parquet(f"{self.path}/sink/{n}/{self.folder.read(f'commits/{n}')}").withColumn("batch", F.lit(n)))
+        key = [*KEY, "plugin_version", "digest", "offset"]
+        return out.groupBy(*key).agg(F.min(F.struct("batch", "change")).alias("x")).select(*key, "x.batch", "x.change")

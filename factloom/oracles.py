@@ -226,5 +226,17 @@ ORACLES = _GRAPH | {
     "p6_split": _HIERARCHY,
     "p6_descendants": f"WITH RECURSIVE {_REACH} SELECT repo_id, a AS ancestor, b AS descendant FROM reach WHERE a <> b",
     "p7_found": f"WITH {_PLAN} SELECT DISTINCT repo_id, plugin_id, path FROM plan WHERE change IN ('New', 'Changed')",
+    "p7_batches": rf"""WITH {_PLAN},
+        early AS (
+          SELECT repo_id, plugin_id, path, arg_max(plugin_version, (observed_at, file_id)) AS plugin_version, replace(lower(arg_max(source_hash, (observed_at, file_id))), 'sha256:', '') AS digest
+          FROM source_files WHERE observed_at < TIMESTAMP '2025-07-01' GROUP BY ALL),
+        one AS (
+          SELECT c.repo_id, CASE WHEN w.path IS NULL THEN 'New' ELSE 'Changed' END AS change FROM early c LEFT JOIN was w ON c.repo_id = w.repo_id AND c.plugin_id = w.plugin_id AND c.path = w.path
+          WHERE w.path IS NULL OR c.digest <> w.digest OR c.plugin_version <> w.plugin_version),
+        held AS (SELECT repo_id, plugin_id, path, plugin_version, digest FROM early UNION ALL SELECT repo_id, plugin_id, path, plugin_version, digest FROM was WHERE repo_id NOT IN (SELECT repo_id FROM early)),
+        two AS (
+          SELECT c.repo_id, CASE WHEN w.path IS NULL THEN 'New' ELSE 'Changed' END AS change FROM cur c LEFT JOIN held w ON c.repo_id = w.repo_id AND c.plugin_id = w.plugin_id AND c.path = w.path
+          WHERE w.path IS NULL OR c.digest <> w.digest OR c.plugin_version <> w.plugin_version)
+        SELECT repo_id, 'first' AS batch, change, count(*) AS n FROM one GROUP BY ALL UNION ALL SELECT repo_id, 'second', change, count(*) FROM two GROUP BY ALL""",
     "p7_plan": f"WITH {_PLAN} SELECT repo_id, change, count(*) AS n FROM plan GROUP BY ALL",
 }

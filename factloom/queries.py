@@ -71,17 +71,22 @@ def p6_split(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.hierarchy(_links(spark, d), 100).withColumn("path", F.to_json("path"))
 
 
-def _changed(spark: SparkSession, d: str) -> DataFrame:
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Current sources that are new or changed since the last successful run: the next batch of the change log."""
     sources, runs, states = (table(spark, d, t) for t in ("source_files", "runs", "index_states"))
     log = changes.ChangeLog(spark, scratch(spark, "changes"))
-    log.plan("0", lambda: changes.plan_changes(sources, runs, states))
-    log.deliver("0")
-    return log.sink()
+    log.start(changes.committed_sources(runs, states))
+    return log.sink(log.run(sources)).select("repo_id", "plugin_id", "path").distinct()
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Current sources that are new or changed since the last successful run."""
-    return _changed(spark, d).select("repo_id", "plugin_id", "path").distinct()
+def p7_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Records that each of two batches delivers, the first over the observations of the first half year, and what is left after them."""
+    sources, runs, states = (table(spark, d, t) for t in ("source_files", "runs", "index_states"))
+    log = changes.ChangeLog(spark, scratch(spark, "changes"))
+    log.start(changes.committed_sources(runs, states))
+    early = log.run(sources.where("observed_at < timestamp_ntz'2025-07-01'"))
+    late = log.run(sources)
+    return log.sink().groupBy("repo_id", F.when(F.col("batch") == early, "first").when(F.col("batch") == late, "second").alias("batch"), "change").agg(F.count("*").alias("n"))
 
 
 def p7_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -301,4 +306,4 @@ def extract_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 OWN = (merge_nodes, merge_edges, merge_declarations, provenance_nodes, violations, violations_first, symbol_batch, symbol_by_id, name_pattern_topk, name_pattern_total, discovery_unscoped, declarations_of_symbol, declarations_in_file, enclosing_symbol, *map(_preset, lookup.PRESETS), neighborhood, impact_d2, impact_budgeted, affected_tests, symbols_in_project, public_surface, exercised_by, documentation_merge, coverage_rollup, source_freshness, index_identities, log_fold, unit_overlay, obsolete_units, run_diagnostics, health, module_resolution, extract_facts)
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_snapshots, p2_found, p6_found, p6_hierarchy, p6_descendants, p6_split, p7_found, p7_plan, *OWN)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_snapshots, p2_found, p6_found, p6_hierarchy, p6_descendants, p6_split, p7_found, p7_plan, p7_batches, *OWN)}

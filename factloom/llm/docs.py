@@ -270,6 +270,7 @@ _CS_NAMES_BARRED = CSHARP_KEYWORDS
 def _csharp_functions(t: Tokens, text: str) -> list[Function]:
     kinds, out, n = t.kind, [], len(t.kind)
     starts = [0] + [i + 1 for i, k in enumerate(kinds) if k in ("{", "}", ";")]
+    classes = {text[t.start[i + 1] : t.end[i + 1]] for i, k in enumerate(kinds[:-1]) if k in ("class", "struct", "record") and kinds[i + 1] == "id"}
     for start in starts:
         j = start
         while j < n and kinds[j] == "[":  # attributes
@@ -298,7 +299,8 @@ def _csharp_functions(t: Tokens, text: str) -> list[Function]:
                     path = found
                     while path - 2 >= first and kinds[path - 1] == ".":
                         path -= 2
-                    if path > first and after in ("{", "=>", ";", "where", ":"):
+                    bare = path == first and after in ("{", "=>", ":") and text[t.start[found] : t.end[found]] in classes  # a constructor
+                    if bare or path > first and after in ("{", "=>", ";", "where", ":"):
                         out.append(Function(text[t.start[found] : t.end[found]].lstrip("@"), t.start[found], t.start[start], _params(t, text, j)))
                     break
                 if found < 0 and (before in ("", "async", "static", "public", "private", "protected", "internal", "override", "virtual", "abstract", "sealed", "new", "extern", "unsafe", "readonly", "ref", "partial", "<", ",") or not before):
@@ -335,6 +337,8 @@ def _elixir_functions(t: Tokens, text: str) -> list[Function]:
             j = i + 1
             name = text[t.start[j] : t.end[j]].rstrip(":")
             params = _params(t, text, j + 1) if j + 1 < n and kinds[j + 1] == "call(" else []
+            if name == "unquote" and kinds[j + 1 : j + 2] == ["call("]:
+                continue  # a name that is made up when the module is compiled
             key = (text[t.start[i] : t.end[i]], f"{name}/{len(params)}")
             if key != last:  # further clauses belong to the first one
                 out.append(Function(name, t.start[j], t.start[i], params))
@@ -484,35 +488,104 @@ def _between(t: Tokens, text: str, language: str, a: int, b: int) -> bool:
     return True
 
 
-def _weight(c: Comment, f: Function) -> float:
-    """How well a comment fits a function: near, its parameters named, its name's words used."""
+#: What near, tagged and named links weigh at most, what foreign tags take away, and what a link must weigh.
+NEAR, TAGGED, NAMED, FOREIGN, LEAST = 2.0, 1.0, 1.0, 2.0, 0.5
+
+
+def weight(c: Comment, f: Function) -> float:
+    """How well a comment fits a function: near, its parameters named, its name's words used.
+
+    A comment all of whose parameters are foreign to the function falls below LEAST, unless it uses
+    half of the name's words.
+    """
     gap = f.start - c.end if f.start >= c.end else 0
-    fit = 2.0 / (1.0 + gap / 200.0)
-    if c.params:
-        fit += sum(p in f.params for p in c.params) / len(c.params)
+    fit = NEAR / (1.0 + gap / 200.0)
+    if c.params and f.params:
+        known = sum(p in f.params for p in c.params)
+        fit += TAGGED * known / len(c.params) if known else -FOREIGN
     own = _name_words(f.name)
     said = {_stem(w) for w in re.findall(r"[^\W_]+", c.text.lower())}
-    return fit + (len(own & said) / len(own) if own else 0.0)
+    return fit + (NAMED * len(own & said) / len(own) if own else 0.0)
+
+
+def heaviest(links: dict[tuple[int, int], float]) -> dict[int, int]:
+    """The matching of greatest weight: right node -> left node; links with weights above 0.
+
+    Left nodes are added one by one, each along the alternating path that gains most.
+    """
+    near: dict[int, list[int]] = {}
+    for a, b in links:
+        near.setdefault(a, []).append(b)
+    owner: dict[int, int] = {}
+    for start in near:
+        # Longest alternating paths from start (Bellman-Ford; the matching has no gaining cycle).
+        gain, came = {start: 0.0}, {}
+        queue = [start]
+        best, end = 0.0, None
+        while queue:
+            a = queue.pop(0)
+            for b in near[a]:
+                if owner.get(b) == a:
+                    continue
+                g = gain[a] + links[a, b]
+                held = owner.get(b)
+                if held is None:
+                    if g > best + 1e-12:
+                        best, end = g, (a, b)
+                elif g - links[held, b] > gain.get(held, float("-inf")) + 1e-12:
+                    gain[held] = g - links[held, b]
+                    came[held] = (a, b)
+                    queue.append(held)
+        # Giving a link up without another one for its comment may pay, too.
+        for a, g in gain.items():
+            if a != start and g > best + 1e-12:
+                best, end = g, a
+        if end is None:
+            continue
+        at = end if isinstance(end, int) else None
+        if at is None:
+            a, b = end
+            steps = [(a, b)]
+            at = a
+        else:
+            steps = []
+            for b in [b for b, o in owner.items() if o == at]:
+                del owner[b]
+        while at != start:
+            a, b = came[at]
+            steps.append((a, b))
+            at = a
+        for a, b in steps:
+            owner[b] = a
+    return owner
 
 
 def assign(comments: list[Comment], functions: list[Function], plausible) -> list[tuple[Comment, Function]]:
     """The heaviest assignment of comments to functions, each used once at most.
 
-    A comment is only a candidate for the next function behind it, and a function has the
-    comments since the one before it; so the graph falls apart into stars, in each of which
-    the heaviest plausible link is the best assignment.
+    A comment is a candidate for the functions around and behind it up to the first that it
+    cannot reach; a link below LEAST is no candidate. Where only one comment and one function
+    meet, as nearly always, the link is the assignment.
     """
     starts = [f.start for f in functions]
-    best: dict[int, tuple[float, Comment]] = {}
-    for c in comments:
-        i = bisect_left(starts, c.end)
-        inside = bisect_right(starts, c.start) - 1
-        for k in {i, inside}:  # decorators may stand before the comment: the function then starts before it
-            if 0 <= k < len(functions) and c.end <= functions[k].at and plausible(c, functions[k]):
-                w = (_weight(c, functions[k]), c.start)
-                if k not in best or w > (best[k][0], best[k][1].start):
-                    best[k] = (w[0], c)
-    return [(c, functions[k]) for k, (_, c) in sorted(best.items())]
+    links: dict[tuple[int, int], float] = {}
+    for n, c in enumerate(comments):
+        inside = bisect_right(starts, c.start) - 1  # decorators may stand before the comment: the function then starts before it
+        first = bisect_left(starts, c.end)
+        for k in ([inside] if 0 <= inside < first else []):
+            if c.end <= functions[k].at and plausible(c, functions[k]) and (w := weight(c, functions[k])) >= LEAST:
+                links[n, k] = w
+        for k in range(first, len(functions)):
+            if not plausible(c, functions[k]):
+                break
+            if (w := weight(c, functions[k])) >= LEAST:
+                links[n, k] = w
+    lefts, rights = {a for a, _ in links}, {b for _, b in links}
+    if len(lefts) == len(links) == len(rights):
+        pairs = [(b, a) for a, b in links]
+    else:
+        pairs = list(heaviest(links).items())
+    return [(comments[a], functions[b]) for b, a in sorted(pairs)]
 
 
 def documented(content: str, language: str, tokens: Tokens) -> list[tuple[int, str, str]]:

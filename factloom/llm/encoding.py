@@ -56,11 +56,38 @@ def plausible(true: str, seen: str) -> bool:
     return any(true in f and seen in f for f in FAMILIES)
 
 
+def parts_of(text: str) -> list[tuple[int, int]]:
+    """Where the words lie that hold other than ASCII characters.
+
+    A run of more than LONGEST characters without a space (as of scripts that write none) is
+    labelled in parts. It is cut before an ASCII character or, without one, between sequences of
+    UTF-8 in the encoding in which it holds most of them.
+    """
+    out = []
+    for m in WORDS.finditer(text):
+        a, end = m.span()
+        while end - a > LONGEST:
+            b = next((i for i in range(a + LONGEST, a, -1) if text[i].isascii()), None) or a + _between_sequences(text[a : a + LONGEST + 4])
+            out.append((a, b))
+            a = b
+        out.append((a, end))
+    return out
+
+
+_SEQUENCE = re.compile(r"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+
+
+def _between_sequences(part: str) -> int:
+    """The last place up to LONGEST that lies in no sequence, by the encoding with most of them."""
+    spans = max(([m.span() for m in _SEQUENCE.finditer(part.translate(_backward(c)))] for c in CODECS), key=lambda found: sum(b - a for a, b in found))
+    return next((a for a, b in spans if a < LONGEST < b and a), LONGEST)
+
+
 def words_of(text: str) -> list[str]:
-    """The words that hold other than ASCII characters; very long ones in parts."""
+    """The words that hold other than ASCII characters; very long ones in parts (see :func:`parts_of`)."""
     words = WORDS.findall(text)
     if words and max(map(len, words)) > LONGEST:
-        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+        words = [text[a:b] for a, b in parts_of(text)]
     return words
 
 
@@ -330,7 +357,7 @@ def label(scorer: Scorer, text: str | None) -> list[tuple[int, int, tuple[str, s
     scorer.readings(words)
     if not words or LOST not in text and not len(scorer.payable(np.stack([scorer.memo[w] for w in words]))):
         return []  # no state can pay for its entry
-    spans = [(i, min(i + LONGEST, m.end())) for m in WORDS.finditer(text) for i in range(m.start(), m.end(), LONGEST)]
+    spans = parts_of(text)
     out = []
     for (a, b), w, state in zip(spans, words, scorer.path(words)):
         if state is None and LOST in w:

@@ -37,8 +37,8 @@ def _ecma(types: bool) -> str:
         levels.append(f"""
 {p}expr = {p}assign {{ ',' assign }}
 {p}assign = arrow | 'yield' [ ['*'] assign ] | {p}chain {ts("| typeparams arrow_rest | 'async' typeparams arrow_rest")}
-{p}chain = {p}unary {{ binop unary {ts("| ('as' | 'satisfies') type")} }} [ assignop assign | '?' assign ':' assign ]
-{p}unary = prefix unary | {p}postfix {ts("| '<' type '>' unary")}
+{p}chain = {p}unary {{ binop unary {ts("| 'as' ( type | 'const' ) | 'satisfies' type")} }} [ assignop assign | '?' assign ':' assign ]
+{p}unary = prefix unary | {p}postfix {ts("| '<' ( type | 'const' ) '>' unary")}
 {p}postfix = {p}primary {{ suffix }} [ '++' | '--' ]
 {p}primary = {' | '.join(first)}
 """)
@@ -60,13 +60,12 @@ stmt = block | declaration | ';' | sexpr ';' | ident ':' stmt
  | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' [ ';' ]
  | ('continue' | 'break') [ ident ] ';' | 'return' [ expr ] ';' | 'throw' expr ';' | 'debugger' ';'
  | 'try' block ( 'catch' [ '(' target {ts("[ ':' type ]")} ')' ] block [ 'finally' block ] | 'finally' block )
- | 'switch' '(' expr ')' '{{' {{ 'case' expr ':' {{ stmt }} | 'default' ':' {{ stmt }} }} '}}'
- | 'with' '(' expr ')' stmt
+ | 'switch' '(' expr ')' '{{' {{ 'case' expr ':' {{ stmt }} | 'default' ':' {{ stmt }} }} '}}' {ts("| 'with' '(' expr ')' stmt")}
 block = '{{' {{ stmt }} '}}'
 forinit = vars | expr
 varword = 'var' | 'let' | 'const' | ['await'] 'using'
 vardecl = varword target {ts("[ ':' type ]")}
-vars = varword vardef {{ ',' vardef }}
+vars = {"varword vardef { ',' vardef }" if types else "( 'var' | 'let' ) vardef { ',' vardef } | ( 'const' | ['await'] 'using' ) target '=' assign { ',' target '=' assign }"}
 vardef = target {ts("['!'] [ ':' type ]")} [ '=' assign ]
 target = ident | '[' [ elem ] {{ ',' [ elem ] }} ']' | '{{' [ field {{ ',' field }} [','] ] '}}'
 elem = ['...'] target [ '=' assign ]
@@ -83,7 +82,7 @@ propname = name | str | num | priv | '[' assign ']'
 arrow = ['async'] ( ident '=>' body | arrow_rest )
 arrow_rest = params {ts("[ ':' rettype ]")} '=>' body
 body = block | bassign
-prefix = '!' | '~' | '+' | '-' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await'
+prefix = '!' | '~' | '+' | '-' | '++' | '--' | 'line++' | 'line--' | 'typeof' | 'void' | 'delete' | 'await'
 suffix = '.' (name | priv) | '?.' ( name | priv | '[' expr ']' | args ) | '[' expr ']' | args | template {ts("| '!' | typeargs ( args | template )")}
 args = '(' [ arg {{ ',' arg }} [','] ] ')'
 arg = ['...'] assign
@@ -107,7 +106,7 @@ type = union [ 'extends' union '?' type ':' type ] | ['abstract'] ['new'] [ type
 union = [ '|' ] inter {{ '|' inter }}
 inter = [ '&' ] typeop {{ '&' typeop }}
 typeop = {{ 'keyof' | 'unique' | 'readonly' | 'infer' }} typeprimary {{ '[' [ type ] ']' }}
-typeprimary = ident {{ '.' name }} [ typeargs ] | {' | '.join(f"'{w}'" for w in _RESERVED_TYPES.split() if w != "typeof")} | str | ['-'] num | 'typeof' ( ident | 'this' ) {{ '.' name }} [ typeargs ] | '(' type ')' | typebody | '[' [ tupleitem {{ ',' tupleitem }} [','] ] ']' | tpl | tplhead type {{ tplmid type }} tplend | 'import' '(' str ')' {{ '.' name }} [ typeargs ]
+typeprimary = ident {{ '.' name }} [ typeargs ] | {' | '.join(f"'{w}'" for w in _RESERVED_TYPES.split() if w != "typeof")} | str | ['-'] num | 'typeof' ( ident | 'this' | 'import' '(' str ')' ) {{ '.' name }} [ typeargs ] | '(' type ')' | typebody | '[' [ tupleitem {{ ',' tupleitem }} [','] ] ']' | tpl | tplhead type {{ tplmid type }} tplend | 'import' '(' str ')' {{ '.' name }} [ typeargs ]
 tupleitem = ['...'] [ ident ['?'] ':' ] type ['?']
 typeargs = '<' type {{ ',' type }} '>'
 typeparams = '<' typeparam {{ ',' typeparam }} [','] '>'
@@ -219,9 +218,10 @@ postfix = primary { suffix } [ '.' ( id | str ) bare ] | id bare
 suffix = '.' ( id | alias | str | '{' [ nl ] list '}' ) | '.' callargs | callargs | 'at[' [ nl ] expr [ nl ] ']'
 callargs = 'call(' [ nl ] [ args ] ')'
 bare = arg { ',' [ nl ] arg }
-args = arg { ',' [ nl ] arg } [ ',' ] [ nl ]
+args = ( kws | expr { ',' [ nl ] expr } [ ',' [ nl ] kws ] ) [ ',' ] [ nl ]
 arg = expr | kw [ nl ] expr
-list = [ arg { [ nl ] ',' [ nl ] arg } [ ',' ] [ nl ] ]
+kws = kw [ nl ] expr { [ nl ] ',' [ nl ] kw [ nl ] expr }
+list = [ ( kws | expr { [ nl ] ',' [ nl ] expr } [ [ nl ] ',' [ nl ] kws ] ) [ ',' ] [ nl ] ]
 primary = id | alias | num | str | chr | atom | 'nil' | 'true' | 'false' | '...'
  | ( '(' | 'call(' ) block ')' | ( '[' | 'at[' ) [ nl ] list ']' | '{' [ nl ] list '}' | '<<' [ nl ] list '>>'
  | '%' ( '{' [ nl ] maplist '}' | ( alias { '.' alias } | id | '^' id | '@' id ) '{' [ nl ] maplist '}' )

@@ -24,10 +24,33 @@ def _elixir_lines(t: Tokens) -> tuple[list[str], list[bool]]:
     return kinds, newline
 
 
+def _ecma_lines(t: Tokens) -> list[str]:
+    """The kinds; an increment at the start of a line belongs to what follows (no line may end before a postfix one)."""
+    if "++" not in t.kind and "--" not in t.kind:
+        return t.kind
+    return [f"line{k}" if k in ("++", "--") and new else k for k, new in zip(t.kind, t.newline)]
+
+
+def _outside(kinds: list[str]) -> int | None:
+    """The first ``return`` that stands in no brackets at all, so in no function."""
+    depth = 0
+    for i, k in enumerate(kinds):
+        if k in ("{", "(", "[", "tplhead"):
+            depth += 1
+        elif k in ("}", ")", "]", "tplend"):
+            depth -= 1
+        elif k == "return" and not depth and (not i or kinds[i - 1] not in (".", "?.")):
+            return i
+    return None
+
+
 def check(tokens: Tokens, language: str) -> tuple[str, int] | None:
     """What is wrong and where: (reason, offset of the failing token or -1 at the end); None if the file is valid."""
-    kinds, newline = _elixir_lines(tokens) if language == "elixir" else (tokens.kind, tokens.newline)
-    at = grammar(language).check(kinds, newline, semicolons=language in ("typescript", "javascript"))
+    ecma = language in ("typescript", "javascript")
+    kinds, newline = _elixir_lines(tokens) if language == "elixir" else (_ecma_lines(tokens) if ecma else tokens.kind, tokens.newline)
+    at = grammar(language).check(kinds, newline, semicolons=ecma)
+    if at is None and ecma and "return" in kinds:
+        at = _outside(kinds)
     if at is None:
         return None
     if at >= len(kinds):

@@ -1,3 +1,4 @@
+import random
 import pytest
 
 from factloom.llm import docs, origin, sources, validity
@@ -124,7 +125,7 @@ defmodule A.B do
     "a" <>
       "b"
     unless x, do: y, else: z
-    %{m | a: 1, "b" => 2}
+    %{m | "b" => 2, a: 1}
     not x and !y
     quote do: unquote(x)
     @limit
@@ -479,3 +480,35 @@ def test_dataframes(spark):
     assert [tuple(r) for r in sources.rates(df).collect()] == [("r", "javascript", 3, 1, 0.333333)]
     none = df.limit(0)
     assert sources.documented_functions(none).collect() == sources.kinds_of(none).collect() == sources.rates(none).collect() == []
+
+
+def test_syntax_beyond_the_corpus():
+    good = {
+        "a.ts": ["const a = [1] as const;", "const b = <const>['x'];", "type T = typeof import('./a');", "declare const x: string;", "const x = {a: 1} as const satisfies T;"],
+        "a.js": ["let a = b\n++c\n", "a++\nb--\n", "if (a)\n  ++b\nelse\n  --c", "for (const a of b) {}", "let x = y.return;"],
+        "a.cs": ["extern alias X;\nusing A;\nclass B { }", "class A { void F(scoped ref int x) { scoped Span<int> z = a; } }"],
+        "a.ex": ["%{:a => 1, b: 2}", "[1, a: 2]", "f a: 1, b: 2", "%{m | a: 1}", "f(a, b,\n c: 1\n)"],
+    }
+    bad = {"a.js": ["const x;", "return 1;", "with (a) { }"], "a.ts": ["return 1;"], "a.ex": ["%{a: 1, 2 => 3}", "[a: 1, 2]", "f(a: 1, 2)"]}
+    assert not [(p, t) for p, ts in good.items() for t in ts if sources.look(p, t, False, False)[3]]
+    assert not [(p, t) for p, ts in bad.items() for t in ts if not sources.look(p, t, False, False)[3]]
+
+
+def test_links_of_comments_and_functions():
+    assert found("a.ts", "/** Adds two numbers.\n * @param left x\n * @param right y\n */\nfunction shuffle(deck: number[]) {}\n") == []
+    assert found("a.ts", "/** Adds a card to the deck.\n * @param deck x\n */\nfunction shuffle(deck: number[]) {}\n") == [(4, "shuffle")]
+    assert found("a.cs", "class A {\n /// <summary>Starts empty and waits.</summary>\n A() { }\n}") == [(3, "A")]
+    assert found("a.ex", 'defmodule A do\n  @doc "Sends a letter home."\n  def unquote(name)(x), do: x\nend') == []
+
+
+def test_heaviest_assignment_equals_brute_force():
+    from itertools import permutations
+
+    rng = random.Random(3)
+    for _ in range(200):
+        n, m = rng.randrange(1, 5), rng.randrange(1, 5)
+        links = {(a, b): float(rng.randrange(1, 20)) for a in range(n) for b in range(m) if rng.random() < 0.6}
+        got = docs.heaviest(links)
+        assert len(set(got.values())) == len(got)
+        best = max((sum(links.get((a, b), 0.0) for a, b in enumerate(p) if b is not None) for p in permutations([*range(m), *[None] * n], n)), default=0.0)
+        assert abs(sum(links[a, b] for b, a in got.items()) - best) < 1e-9

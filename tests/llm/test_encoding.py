@@ -93,3 +93,11 @@ def test_weakly_damaged_words_among_words_written_alike(scorer):
     assert 0 < gain < e.IMPOSSIBLE
     text = " ".join(["þu", "için", "él"] * 8)
     assert e.restored(text, e.label(scorer, text)) == " ".join(["şu", "için", "él"] * 8)
+
+
+def test_long_runs_are_cut_between_sequences():
+    text = "".join(chr(0x4E00 + i % 500) for i in range(700)).encode().decode("latin-1")
+    cuts = e.parts_of(text)
+    assert cuts[0][0] == 0 and cuts[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:]))
+    assert all(b - a <= e.LONGEST and not 0x80 <= ord(text[a]) <= 0xBF for a, b in cuts)
+    assert "".join(e.words_of(text)) == text

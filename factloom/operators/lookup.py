@@ -14,6 +14,22 @@ from ..functions import text as X
 from .traverse import Traversal, traverse
 
 
+def limited(requests: DataFrame, most: int, code: str) -> DataFrame:
+    """requests, which a caller may make so many of at most; ValueError with the code beyond that.
+
+    For interactive requests (:data:`schema.BATCH_NAMES`, :data:`schema.BATCH_SEEDS`); jobs over a
+    whole corpus do not ask for it.
+    """
+    if requests.distinct().limit(most + 1).count() > most:
+        raise ValueError(code)
+    return requests
+
+
+def node_by_id(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """nodes with one of the ids (repo_id, node_id)."""
+    return nodes.join(ids.select("repo_id", "node_id").distinct(), ["repo_id", "node_id"], "left_semi")
+
+
 def symbols_by_name(nodes: DataFrame, names: DataFrame) -> DataFrame:
     """(name, repo_id, node_id, candidates): nodes with exactly that qualified name; a name without any keeps a null row."""
     asked = names.select("name").where(F.trim("name") != "").distinct()
@@ -67,6 +83,10 @@ def span(d: Column | None = None) -> Column:
     return (F.col("end_line") - F.col("start_line")).cast("bigint") * 1_000_000 + (F.col("end_col") - F.col("start_col"))
 
 
+#: Sizes of the blocks of lines, by the span of what they hold.
+LEVELS = (1 << 6, 1 << 10, 1 << 14, 1 << 19, 1 << 24, 1 << 29)
+
+
 def enclosing(points: DataFrame, declarations: DataFrame) -> DataFrame:
     """(repo_id, path, line, col, declaration_id, symbol_id, symbol_node_id): the tightest declaration around each point.
 
@@ -74,14 +94,18 @@ def enclosing(points: DataFrame, declarations: DataFrame) -> DataFrame:
     nulls. Lines of declarations are cut into blocks, and a point only meets declarations
     that touch its block, so a file with many declarations is no cross product.
     """
-    block = 64
-    p = points.select("repo_id", "path", "line", "col").distinct().withColumn("block", F.floor(F.col("line") / block))
-    d = declarations.where("end_line >= start_line").withColumn("block", F.explode(F.sequence(F.floor(F.col("start_line") / block), F.floor(F.col("end_line") / block))))
+    d = declarations.where("end_line >= start_line").withColumn("lines", F.col("end_line").cast("bigint") - F.col("start_line"))
+    # A declaration lies in blocks of a size that grows with its span, in some dozens at most.
+    size = F.lit(64).cast("bigint")
+    for level in LEVELS[1:]:
+        size = F.when(F.col("lines") >= level, F.lit(level).cast("bigint")).otherwise(size)
+    d = d.withColumn("size", size).withColumn("block", F.explode(F.sequence(F.floor(F.col("start_line") / F.col("size")), F.floor(F.col("end_line") / F.col("size")))))
+    p = points.select("repo_id", "path", "line", "col").distinct().withColumn("size", F.explode(F.array(*[F.lit(x).cast("bigint") for x in LEVELS]))).withColumn("block", F.floor(F.col("line") / F.col("size")))
     place = F.struct(F.col("line").alias("l"), F.col("col").alias("c"))
     inside = (place >= F.struct(F.col("start_line").alias("l"), F.col("start_col").alias("c"))) & (place < F.struct(F.col("end_line").alias("l"), F.col("end_col").alias("c")))
     tight = F.struct(span().alias("s"), (-F.col("start_line")).alias("l"), (-F.col("start_col")).alias("c"), "declaration_id", "symbol_id", "symbol_node_id")
-    best = p.join(d, ["repo_id", "path", "block"]).where(inside).groupBy("repo_id", "path", "line", "col").agg(F.min(tight).alias("t"))
-    return p.drop("block").join(best, ["repo_id", "path", "line", "col"], "left").select("repo_id", "path", "line", "col", "t.declaration_id", "t.symbol_id", "t.symbol_node_id")
+    best = p.join(d, ["repo_id", "path", "size", "block"]).where(inside).groupBy("repo_id", "path", "line", "col").agg(F.min(tight).alias("t"))
+    return p.select("repo_id", "path", "line", "col").distinct().join(best, ["repo_id", "path", "line", "col"], "left").select("repo_id", "path", "line", "col", "t.declaration_id", "t.symbol_id", "t.symbol_node_id")
 
 
 def files_by_path(nodes: DataFrame) -> DataFrame:
@@ -89,6 +113,55 @@ def files_by_path(nodes: DataFrame) -> DataFrame:
     return nodes.where("kind = 'file' and qualified_name is not null").groupBy("repo_id", F.col("qualified_name").alias("path")).agg(F.min("node_id").alias("node_id"))
 
 
+def discover(nodes: DataFrame, pattern: str, kinds: tuple[str, ...] = (), languages: tuple[str, ...] = (), limit: int = S.PATTERN_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Unscoped discovery: rows and (total, returned, truncated).
+
+    The limit is one on matches of the pattern, in their order, and applies before the filters on
+    kinds and languages; the result is truncated if the pattern matched more. Rows come by
+    qualified name, those without one last.
+    """
+    top, stats = by_pattern(nodes, pattern, limit)
+    rows = discoverable(top, kinds, languages)
+    counts = stats.select("total", F.lit(0).cast("bigint").alias("returned")).unionByName(rows.agg(F.lit(0).cast("bigint").alias("total"), F.count("*").alias("returned")))
+    return in_discovery_order(rows), counts.agg(F.sum("total").alias("total"), F.sum("returned").alias("returned")).withColumn("truncated", F.col("total") > limit)
+
+
+def discover_within(nodes: DataFrame, edges: DataFrame, roots: DataFrame, pattern: str | None = None, kinds: tuple[str, ...] = (), languages: tuple[str, ...] = (), limit: int = S.PATTERN_LIMIT, depth: int = 3, max_nodes: int = 2000, max_edges: int = 4000) -> DataFrame:
+    """Scoped discovery: (root_id, repo_id, node_id, ord, total, truncated) per root (repo_id, node_id).
+
+    All filters apply before the limit, which counts per root in the order of discovery; a result is
+    truncated if more match, or if the walk below the root was. A root that is no project or file
+    of its repository has no rows.
+    """
+    if not 1 <= limit <= S.PATTERN_LIMIT_MAX:
+        raise ValueError(f"a limit lies between 1 and {S.PATTERN_LIMIT_MAX}")
+    real = roots.join(nodes.where("kind in ('project', 'file')").select("repo_id", "node_id"), ["repo_id", "node_id"], "left_semi")
+    walk = _within(edges, real, depth, max_nodes, max_edges)
+    found = discoverable(nodes if pattern is None else matching(nodes, pattern), kinds, languages).select("repo_id", "node_id", "qualified_name")
+    reached = _root(walk.nodes.join(walk.stats.select("seed", "truncated"), "seed")).where("node_id != root_id").join(found, ["repo_id", "node_id"])
+    w = Window.partitionBy("repo_id", "root_id").orderBy(F.col("qualified_name").asc_nulls_last(), "node_id")
+    total = reached.groupBy("repo_id", "root_id").agg(F.count("*").alias("total"))
+    first = reached.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= limit)
+    return first.join(total, ["repo_id", "root_id"]).select("root_id", "repo_id", "node_id", "ord", "total", (F.col("truncated") | (F.col("total") > limit)).alias("truncated"))
+
+
+def symbols_in_files(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = (), languages: tuple[str, ...] = ()) -> DataFrame:
+    """(repo_id, path, node_id, ord): symbols that each file declares, by qualified name."""
+    files = files_by_path(nodes).withColumnRenamed("node_id", "source_id")
+    declared = edges.where("kind = 'declares'").join(files, ["repo_id", "source_id"]).select("repo_id", "path", F.col("target_id").alias("node_id")).distinct()
+    symbols = discoverable(nodes, kinds, languages).where("symbol_id is not null").select("repo_id", "node_id", "qualified_name")
+    w = Window.partitionBy("repo_id", "path").orderBy(F.col("qualified_name").asc_nulls_last(), "node_id")
+    return declared.join(symbols, ["repo_id", "node_id"]).withColumn("ord", F.row_number().over(w)).select("repo_id", "path", "node_id", "ord")
+
+
+def declarations_in(nodes: DataFrame, edges: DataFrame, declarations: DataFrame, roots: DataFrame, depth: int = 3, max_nodes: int = 2000, max_edges: int = 4000) -> DataFrame:
+    """(root_id, repo_id, declaration_id, ord): declarations of the symbols in each root, by path and place."""
+    inside = symbols_in(nodes, edges, roots, depth, max_nodes, max_edges).select("root_id", "repo_id", "node_id")
+    symbols = inside.join(nodes.where("symbol_id is not null").select("repo_id", "node_id", "symbol_id"), ["repo_id", "node_id"]).select("root_id", "repo_id", "symbol_id").distinct()
+    w = Window.partitionBy("root_id", "repo_id").orderBy("path", "start_line", "start_col", "declaration_id")
+    return declarations.join(symbols, ["repo_id", "symbol_id"]).withColumn("ord", F.row_number().over(w)).select("root_id", "repo_id", "declaration_id", "ord")
+
+
 def _within(edges: DataFrame, roots: DataFrame, depth: int, nodes: int, links: int, kinds: tuple[str, ...] = S.CONTAINMENT) -> Traversal:
     seeds = roots.select(F.concat_ws("\x1f", "repo_id", "node_id").alias("seed"), "repo_id", "node_id")
     return traverse(edges, seeds, "Outgoing", kinds, (), depth, nodes, links)

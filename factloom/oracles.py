@@ -137,7 +137,33 @@ _GRAPH = {
     "symbol_by_id": f"WITH {_LIVE} SELECT repo_id, symbol_id, min(node_id) AS node_id FROM nm WHERE symbol_id IS NOT NULL GROUP BY ALL",
     "name_pattern_topk": f"WITH {_LIVE} SELECT repo_id, node_id, qualified_name, name FROM nm WHERE contains(lower(qualified_name), 'ledger') OR contains(lower(name), 'ledger') ORDER BY qualified_name NULLS FIRST, node_id, repo_id LIMIT 50",
     "name_pattern_total": f"WITH {_LIVE}, t AS (SELECT count(*) AS total FROM nm WHERE contains(lower(qualified_name), 'ledger') OR contains(lower(name), 'ledger')) SELECT total, least(total, 50) AS returned, total > 50 AS truncated FROM t",
-    "discovery_unscoped": f"WITH {_LIVE} SELECT repo_id, node_id, qualified_name FROM nm WHERE (contains(lower(qualified_name), 'meter') OR contains(lower(name), 'meter')) AND kind = 'callable' AND language IN ('csharp', 'typescript')",
+    "discovery_unscoped": f"""WITH {_LIVE}, top AS (SELECT * FROM nm WHERE contains(lower(qualified_name), 'meter') OR contains(lower(name), 'meter') ORDER BY qualified_name NULLS FIRST, node_id, repo_id LIMIT 200)
+        SELECT repo_id, node_id, qualified_name FROM top WHERE kind = 'callable' AND language IN ('csharp', 'typescript')""",
+    "discovery_counts": f"""WITH {_LIVE}, m AS (SELECT *, row_number() OVER (ORDER BY qualified_name NULLS FIRST, node_id, repo_id) AS rn FROM nm WHERE contains(lower(qualified_name), 'meter') OR contains(lower(name), 'meter'))
+        SELECT count(*) AS total, count(*) FILTER (rn <= 200 AND kind = 'callable' AND language IN ('csharp', 'typescript')) AS returned, count(*) > 200 AS truncated FROM m""",
+    "discovery_scoped": f"""WITH RECURSIVE {_LIVE},
+        walk AS (SELECT node_id AS root_id, repo_id, node_id, 0 AS depth FROM nm WHERE kind = 'project'
+          UNION SELECT w.root_id, w.repo_id, e.target_id, w.depth + 1 FROM walk w JOIN em e ON e.repo_id = w.repo_id AND e.source_id = w.node_id
+          WHERE w.depth < 3 AND e.target_id IS NOT NULL AND e.kind IN ('contains', 'declares')),
+        far AS (SELECT DISTINCT w.repo_id, w.root_id FROM walk w JOIN em e ON e.repo_id = w.repo_id AND e.source_id = w.node_id
+          WHERE e.target_id IS NOT NULL AND e.kind IN ('contains', 'declares')
+          GROUP BY w.repo_id, w.root_id, w.node_id HAVING min(w.depth) = 3),
+        r AS (SELECT DISTINCT w.root_id, w.repo_id, w.node_id, n.qualified_name FROM walk w JOIN nm n ON n.repo_id = w.repo_id AND n.node_id = w.node_id
+          WHERE w.node_id <> w.root_id AND n.symbol_id IS NOT NULL AND (contains(lower(n.qualified_name), 'er') OR contains(lower(n.name), 'er'))),
+        o AS (SELECT *, row_number() OVER (PARTITION BY repo_id, root_id ORDER BY qualified_name NULLS LAST, node_id) AS ord, count(*) OVER (PARTITION BY repo_id, root_id) AS total FROM r)
+        SELECT o.root_id, o.repo_id, o.node_id, o.ord, o.total, o.total > 10 OR f.root_id IS NOT NULL AS truncated FROM o LEFT JOIN far f ON f.repo_id = o.repo_id AND f.root_id = o.root_id WHERE o.ord <= 10""",
+    "symbols_in_file": f"""WITH {_LIVE},
+        f AS (SELECT repo_id, qualified_name AS path, min(node_id) AS node_id FROM nm WHERE kind = 'file' AND qualified_name IS NOT NULL GROUP BY ALL),
+        s AS (SELECT DISTINCT f.repo_id, f.path, n.node_id, n.qualified_name FROM f JOIN em e ON e.repo_id = f.repo_id AND e.source_id = f.node_id AND e.kind = 'declares'
+          JOIN nm n ON n.repo_id = e.repo_id AND n.node_id = e.target_id WHERE n.symbol_id IS NOT NULL)
+        SELECT repo_id, path, node_id, row_number() OVER (PARTITION BY repo_id, path ORDER BY qualified_name NULLS LAST, node_id) AS ord FROM s""",
+    "declarations_in_project": f"""WITH RECURSIVE {_LIVE},
+        walk AS (SELECT node_id AS root_id, repo_id, node_id, 0 AS depth FROM nm WHERE kind = 'project'
+          UNION SELECT w.root_id, w.repo_id, e.target_id, w.depth + 1 FROM walk w JOIN em e ON e.repo_id = w.repo_id AND e.source_id = w.node_id
+          WHERE w.depth < 3 AND e.target_id IS NOT NULL AND e.kind IN ('contains', 'declares')),
+        s AS (SELECT DISTINCT w.root_id, w.repo_id, n.symbol_id FROM walk w JOIN nm n ON n.repo_id = w.repo_id AND n.node_id = w.node_id WHERE w.node_id <> w.root_id AND n.symbol_id IS NOT NULL)
+        SELECT s.root_id, s.repo_id, d.declaration_id, row_number() OVER (PARTITION BY s.root_id, s.repo_id ORDER BY path, start_line, start_col, declaration_id) AS ord FROM s JOIN dm d ON d.repo_id = s.repo_id AND d.symbol_id = s.symbol_id""",
+    "node_by_id": f"WITH {_LIVE} SELECT repo_id, node_id, kind, name FROM nm n WHERE EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = n.repo_id AND e.source_id = n.node_id)",
     "declarations_of_symbol": f"WITH {_LIVE} SELECT repo_id, symbol_id, declaration_id, row_number() OVER (PARTITION BY repo_id, symbol_id ORDER BY path, start_line, start_col, declaration_id) AS ord FROM dm",
     "declarations_in_file": f"""WITH {_LIVE},
         f AS (SELECT repo_id, qualified_name AS path, min(node_id) AS node_id FROM nm WHERE kind = 'file' AND qualified_name IS NOT NULL GROUP BY ALL),
@@ -200,6 +226,8 @@ _GRAPH = {
           (SELECT count(DISTINCT declaration_id) FROM declarations x WHERE x.repo_id = r.repo_id) AS declarations, (SELECT count(DISTINCT edge_id) FROM edges x WHERE x.repo_id = r.repo_id) AS edges FROM r""",
 } | _NEIGHBOURS
 
+_GRAPH["impact_mirrored"] = _GRAPH["impact_d2"]
+
 ORACLES = _GRAPH | {
     "p1_found": f"WITH {_ORPHANS} SELECT DISTINCT ref_table, ref_column, repo_id, ref_id FROM orphan",
     "p1_counts": f"""WITH {_ORPHANS},

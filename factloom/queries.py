@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import changes, hierarchy, lookup, merge, orphans, planner, replay, resolve
+from .operators import changes, hierarchy, lookup, merge, orphans, planner, replay, resolve, traverse
+from .plans.mirror import Mirror
+from .schema import IMPACT
 from .session import cut, scratch, table
 from .sources import extract
 
@@ -163,8 +165,35 @@ def name_pattern_total(spark: SparkSession, d: str) -> DataFrame:
 
 
 def discovery_unscoped(spark: SparkSession, d: str) -> DataFrame:
-    """Public callables whose name holds a text."""
-    return lookup.discoverable(lookup.matching(_nodes(spark, d), "Meter"), ("callable",), ("csharp", "typescript")).select("repo_id", "node_id", "qualified_name")
+    """Callables in two languages among the first matches of a text."""
+    return lookup.discover(_nodes(spark, d), "Meter", ("callable",), ("csharp", "typescript"), 200)[0].select("repo_id", "node_id", "qualified_name")
+
+
+def discovery_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Matches, rows and truncation of the same."""
+    return lookup.discover(_nodes(spark, d), "Meter", ("callable",), ("csharp", "typescript"), 200)[1]
+
+
+def discovery_scoped(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten symbols of every project whose name holds a text."""
+    nodes = _nodes(spark, d)
+    return lookup.discover_within(nodes, _edges(spark, d), nodes.where("kind = 'project'"), "er", limit=10)
+
+
+def symbols_in_file(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols that every file declares."""
+    return lookup.symbols_in_files(_nodes(spark, d), _edges(spark, d))
+
+
+def declarations_in_project(spark: SparkSession, d: str) -> DataFrame:
+    """Declarations of the symbols of every project, in order."""
+    nodes = _nodes(spark, d)
+    return lookup.declarations_in(nodes, _edges(spark, d), _declarations(spark, d), nodes.where("kind = 'project'"))
+
+
+def node_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """The node at the source of every edge, if there is one."""
+    return lookup.node_by_id(_nodes(spark, d), table(spark, d, "edges").select("repo_id", F.col("source_id").alias("node_id"))).select("repo_id", "node_id", "kind", "name")
 
 
 def declarations_of_symbol(spark: SparkSession, d: str) -> DataFrame:
@@ -211,6 +240,14 @@ def impact_d2(spark: SparkSession, d: str) -> DataFrame:
     return t.nodes.select("seed", "node_id", "depth")
 
 
+def impact_mirrored(spark: SparkSession, d: str) -> DataFrame:
+    """The same as impact_d2, walked over the mirrored adjacency."""
+    mirror = Mirror(spark, scratch(spark, "mirror"))
+    mirror.build(_edges(spark, d), "1")
+    t = traverse.traverse(None, _seeds(_nodes(spark, d), "package"), "Incoming", IMPACT, (), 2, 1_000_000, 10_000_000, adj=mirror.adjacency("1"))
+    return t.nodes.select("seed", "node_id", "depth")
+
+
 def impact_budgeted(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of the impact of every type at depth two under the default budgets."""
     return lookup.impact(_edges(spark, d), _seeds(_nodes(spark, d), "type"), 2).stats
@@ -305,5 +342,5 @@ def extract_facts(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("repo_id", "fact", "kind").agg(F.count("*").alias("n"))
 
 
-OWN = (merge_nodes, merge_edges, merge_declarations, provenance_nodes, violations, violations_first, symbol_batch, symbol_by_id, name_pattern_topk, name_pattern_total, discovery_unscoped, declarations_of_symbol, declarations_in_file, enclosing_symbol, *map(_preset, lookup.PRESETS), neighborhood, impact_d2, impact_budgeted, affected_tests, symbols_in_project, public_surface, exercised_by, documentation_merge, coverage_rollup, source_freshness, index_identities, log_fold, unit_overlay, obsolete_units, run_diagnostics, health, module_resolution, extract_facts)
+OWN = (merge_nodes, merge_edges, merge_declarations, provenance_nodes, violations, violations_first, symbol_batch, symbol_by_id, name_pattern_topk, name_pattern_total, discovery_unscoped, discovery_counts, discovery_scoped, symbols_in_file, declarations_in_project, node_by_id, declarations_of_symbol, declarations_in_file, enclosing_symbol, *map(_preset, lookup.PRESETS), neighborhood, impact_d2, impact_mirrored, impact_budgeted, affected_tests, symbols_in_project, public_surface, exercised_by, documentation_merge, coverage_rollup, source_freshness, index_identities, log_fold, unit_overlay, obsolete_units, run_diagnostics, health, module_resolution, extract_facts)
 QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_snapshots, p2_found, p6_found, p6_hierarchy, p6_descendants, p6_split, p7_found, p7_plan, p7_batches, *OWN)}

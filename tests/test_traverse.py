@@ -4,6 +4,7 @@ from collections import deque
 import pytest
 
 from factloom.operators import traverse as t
+from factloom.plans.mirror import Mirror, MirrorError
 
 EDGES = "repo_id string, edge_id string, source_id string, target_id string, kind string, ev_quality string"
 
@@ -50,8 +51,10 @@ def graph(rng):
     return [(f"e{i}", f"n{rng.randrange(n)}", f"n{rng.randrange(n)}", rng.choice(["calls", "references"])) for i in range(rng.randrange(0, 16))]
 
 
-@pytest.mark.parametrize("case", range(6))
-def test_equals_sequential_walk(spark, case):
+@pytest.mark.parametrize(("case", "whole"), [*((i, t.WHOLE) for i in range(12)), *((i, 0) for i in range(4))])
+def test_equals_sequential_walk(spark, monkeypatch, case, whole):
+    monkeypatch.setattr(t, "WHOLE", whole)
+    monkeypatch.setattr(t, "SEEDS", 7)
     rng = random.Random(case)
     direction = ["Outgoing", "Incoming", "Both"][case % 3]
     kinds = rng.choice([(), (), ("calls",)])
@@ -79,3 +82,33 @@ def test_evidence_is_a_filter_of_navigation(spark):
     assert t.traverse(df, seeds, max_depth=2).edges.count() == 2
     with pytest.raises(ValueError):
         t.traverse(df, seeds, max_nodes=0)
+
+
+def test_unknown_seeds_give_nothing(spark):
+    df = spark.createDataFrame([("r", "e", "a", "b", "calls", "Resolved")], EDGES)
+    seeds = spark.createDataFrame([("s1", "r", "a"), ("s2", "r", "zzz"), ("s3", "q", "a")], "seed string, repo_id string, node_id string")
+    nodes = spark.createDataFrame([("r", "a"), ("r", "b")], "repo_id string, node_id string")
+    got = t.traverse(df, seeds, nodes=nodes)
+    assert {(r.seed, r.node_id) for r in got.nodes.collect()} == {("s1", "a"), ("s1", "b")}
+    assert {(r.seed, r.nodes, r.truncated) for r in got.stats.collect()} == {("s1", 2, False), ("s2", 0, False), ("s3", 0, False)}
+
+
+def test_mirror(spark, tmp_path):
+    rows = [("r", f"e{i}", f"n{i % 7}", f"n{i * 3 % 11}", ("calls", "inherits")[i % 2], "Resolved") for i in range(40)] + [("r", "loop", "n1", "n1", "calls", "Resolved")]
+    df = spark.createDataFrame(rows, EDGES)
+    seeds = spark.createDataFrame([("s", "r", "n1")], "seed string, repo_id string, node_id string")
+    mirror = Mirror(spark, f"{tmp_path}/m")
+    with pytest.raises(MirrorError, match="mirror.missing"):
+        mirror.adjacency("1")
+    mirror.build(df, "1")
+    for direction in ("Outgoing", "Incoming", "Both"):
+        for kinds in ((), ("calls",)):
+            a, b = (t.traverse(*x, direction, kinds, (), 3, 6, 9, adj=y) for x, y in (((df, seeds), None), ((None, seeds), mirror.adjacency("1"))))
+            for name in ("nodes", "edges", "stats"):
+                assert sorted(map(tuple, getattr(a, name).collect())) == sorted(map(tuple, getattr(b, name).collect()))
+    mirror.build(df.where("edge_id = 'loop'"), "2")
+    with pytest.raises(MirrorError, match="mirror.stale"):
+        mirror.adjacency("1")
+    assert mirror.adjacency("2").count() == 2 and len([x for x in mirror.folder.names() if x.startswith("adjacency-")]) == 1
+    mirror.drop()
+    assert mirror.version() is None

@@ -328,10 +328,10 @@ def health(spark: SparkSession, d: str) -> DataFrame:
 
 
 def module_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """Every relative import of TypeScript and JavaScript sources, resolved."""
+    """Every relative module reference of TypeScript and JavaScript sources, resolved."""
     src = table(spark, d, "source_files").where("content is not null")
-    spec = F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^import [^'\n]*'([^']+)'"), 1)).alias("specifier")
-    refs = src.where("path like '%.ts' or path like '%.js'").select("repo_id", "path", spec).distinct()
+    rows = extract.facts(src.where("path like '%.ts' or path like '%.js'")).where("fact = 'module'")
+    refs = cut(rows.where("name like './%' or name like '../%' or name in ('.', '..')").select("repo_id", "path", F.col("name").alias("specifier")).distinct())
     out = [resolve.resolve_modules(refs.where(F.col("path").endswith(end)), src, language) for end, language in ((".ts", "typescript"), (".js", "javascript"))]
     return out[0].unionByName(out[1])
 

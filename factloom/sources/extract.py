@@ -1,10 +1,12 @@
-"""Facts from source text: TypeScript, JavaScript and Elixir, read structurally on tokens.
+"""Facts from source text: TypeScript, JavaScript, Elixir and C#, read structurally on tokens.
 
 One row per fact: nodes, declarations, edges, and references to modules. A file's rows make up
 one unit. Only what the scanner understands is emitted; a file with tokens that are none, or
 with brackets that do not close, keeps its other facts and is marked partial. Nothing is
 resolved here: heritage and calls point to placeholder nodes of a name (quality Structural),
-prototype idioms are Derived.
+prototype idioms are Derived. Of C# the syntactic facts are read (namespaces, types, members,
+modifiers, documentation, test attributes, bases by name, invocations by name); what needs a
+compiler (overloads, resolved calls and types) is not.
 
 Defined results: null and empty contents give the file node alone; repeated input rows give
 their facts once; unknown extensions give nothing.
@@ -356,14 +358,170 @@ def _elixir(x: Extraction, t: Tokens) -> None:
     walk(0, n, x.file, "")
 
 
+_CS_MODIFIERS = frozenset("public private protected internal static readonly abstract override sealed virtual async partial extern unsafe new const volatile required file ref".split())
+_CS_ACCESS = ("public", "protected", "internal", "private")
+#: Attributes that mark a test.
+TEST_ATTRIBUTES = frozenset(("Fact", "Theory", "Test", "TestCase", "TestMethod", "DataTestMethod"))
+
+
+def _csharp(x: Extraction, t: Tokens) -> None:
+    kinds, n = t.kind, len(t.kind)
+    word = lambda i: x.text[t.start[i] : t.end[i]]
+    close = _match(kinds)
+    x.partial = "error" in kinds or any(k in ("(", "[", "{") and i not in close for i, k in enumerate(kinds))
+    ends = [b for _, b in t.comments]
+
+    def documentation(at: int) -> str | None:
+        """The summary of the /// lines directly before a place."""
+        lines, i = [], bisect.bisect_right(ends, at) - 1
+        while i >= 0 and x.text.startswith("///", t.comments[i][0]) and not x.text[t.comments[i][1] : at].strip():
+            at = t.comments[i][0]
+            lines.insert(0, x.text[at + 3 : t.comments[i][1]])
+            i -= 1
+        text = "\n".join(lines)
+        inner = re.search(r"<summary>(.*?)</summary>", text, re.S)
+        return " ".join(re.sub(r"<[^>]+>", " ", inner.group(1) if inner else text).split()) or None
+
+    def calls(a: int, b: int, source: str) -> None:
+        for q in range(a, b):
+            if kinds[q] == "id" and q + 1 < n and kinds[q + 1] == "(" and kinds[q - 1] != "new":
+                x.edge("invokes-name", source, x.named("callable", word(q)), t.start[q], t.end[q])
+            elif kinds[q] == "new" and q + 1 < n and kinds[q + 1] == "id":
+                x.edge("invokes-name", source, x.named("callable", word(q + 1)), t.start[q + 1], t.end[q + 1])
+
+    def name_before(j: int) -> int:
+        """The name that stands before a token, type parameters left out."""
+        j -= 1
+        if kinds[j] == ">":
+            depth = 0
+            while j > 0:
+                depth += (kinds[j] == ">") - (kinds[j] == "<")
+                j -= 1
+                if not depth:
+                    break
+        return j
+
+    def end_of(j: int, end: int) -> int:
+        """The last token of what begins before j: a block, or all up to a semicolon."""
+        while j < end and kinds[j] not in (";", "{"):
+            j = close.get(j, j) + 1 if kinds[j] in ("(", "[") else j + 1
+        if j < end and kinds[j] == "{":
+            j = close.get(j, end - 1)
+            if j + 1 < end and kinds[j + 1] == "=":  # a property with a value
+                return end_of(j + 1, end)
+        return min(j, end - 1)
+
+    def bases(a: int, b: int, id_: str, interface: bool) -> None:
+        depth, at = 0, True
+        for q in range(a, b):
+            if kinds[q] == "where":
+                return
+            if at and not depth and kinds[q] == "id":
+                last = q
+                while last + 2 < b and kinds[last + 1] == "." and kinds[last + 2] == "id":
+                    last += 2
+                name = x.text[t.start[q] : t.end[last]]
+                contract = interface or re.match(r"I[A-Z]", word(last)) is not None
+                x.edge("implements" if contract and not interface else "inherits", id_, x.named("interface" if contract else "type", name), t.start[q], t.end[last])
+                at = False
+            depth += (kinds[q] in ("<", "(")) - (kinds[q] in (">", ")"))
+            at = at or (kinds[q] == "," and not depth)
+
+    def walk(i: int, end: int, container: str, label: str, owner: str | None) -> None:
+        while i < end:
+            start, marks = i, set()
+            while i < end and kinds[i] == "[" and i in close:
+                marks |= {word(q) for q in range(i + 1, close[i]) if kinds[q] == "id" and kinds[q - 1] in ("[", ",", ".")}
+                i = close[i] + 1
+            first, mods = i, []
+            while i < end and kinds[i] in _CS_MODIFIERS:
+                mods.append(kinds[i])
+                i += 1
+            if i >= end:
+                return
+            k = kinds[i]
+            access = " ".join(m for m in mods if m in _CS_ACCESS) or ("public" if owner == "" else "private" if owner else "internal")
+            props = {"access": access, "static": "true" if "static" in mods else None, "abstract": "true" if "abstract" in mods else None, "doc-summary": documentation(t.start[start]), "test-method": "true" if marks & TEST_ATTRIBUTES else None}
+            if k == "using" and owner is None:
+                stop = end_of(i, end)
+                names = [q for q in range(i + 1, stop) if kinds[q] == "id"]
+                if names and kinds[stop] == ";":
+                    equals = next((q for q in range(i + 1, stop) if kinds[q] == "="), i)
+                    names = [q for q in names if q > equals]
+                    if names:
+                        x.module("using", x.text[t.start[names[0]] : t.end[stop - 1]], x.file, t.start[i], t.end[stop])
+                i = stop + 1
+            elif k == "namespace" and i + 1 < end:
+                last = i + 1
+                while last + 2 < end and kinds[last + 1] == ".":
+                    last += 2
+                name = x.text[t.start[i + 1] : t.end[last]]
+                id_ = x.named("namespace", f"{label}.{name}" if label else name)
+                x.edge("contains", x.file, id_, t.start[i], t.end[last])
+                body = last + 1
+                if body < end and kinds[body] == "{":
+                    walk(body + 1, close.get(body, end), id_, f"{label}.{name}" if label else name, None)
+                    i = close.get(body, end) + 1
+                else:
+                    walk(body + 1, end, id_, f"{label}.{name}" if label else name, None)
+                    return
+            elif k in ("class", "struct", "interface", "enum") or (k == "record" and i + 1 < end and kinds[i + 1] in ("id", "class", "struct")):
+                at = i + 1 + (k == "record" and kinds[i + 1] in ("class", "struct"))
+                if at >= end:
+                    return
+                name, body = word(at), at + 1
+                colon = None
+                while body < end and kinds[body] not in ("{", ";"):
+                    colon = body if kinds[body] == ":" and colon is None else colon
+                    body = close.get(body, body) + 1 if kinds[body] == "(" else body + 1
+                stop = close.get(body, end - 1) if body < end and kinds[body] == "{" else min(body, end - 1)
+                id_ = x.symbol("interface" if k == "interface" else "type", name, container, label, t.start[first], t.end[at], t.end[stop], **props)
+                if colon is not None:
+                    bases(colon + 1, body, id_, k == "interface")
+                inner = f"{label}.{name}" if label else name
+                if k == "enum":
+                    for q in range(body + 1, stop):
+                        if kinds[q] == "id" and kinds[q - 1] in ("{", ",", "]"):
+                            x.symbol("field", word(q), id_, inner, t.start[q], t.end[q], t.end[q], access="public")
+                elif stop > body:
+                    walk(body + 1, stop, id_, inner, "" if k == "interface" else name)
+                i = stop + 1
+            elif k == "delegate" and (at := next((q for q in range(i, end) if kinds[q] in ("(", ";")), end)) < end and kinds[at] == "(":
+                at = name_before(at)
+                stop = end_of(at, end)
+                x.symbol("type", word(at), container, label, t.start[first], t.end[at], t.end[stop], **props)
+                i = stop + 1
+            elif owner is not None and k not in ("}", ";"):
+                j, angle = close.get(i, i) + 1 if k == "(" else i, 0
+                while j < end and (angle or kinds[j] not in ("(", "{", ";", "=", "=>")):
+                    angle = max(0, angle + (kinds[j] == "<") - (kinds[j] == ">")) if "operator" not in kinds[i:j] else 0
+                    j = close.get(j, j) + 1 if kinds[j] == "[" or (angle and kinds[j] == "(") else j + 1
+                if j >= end:
+                    return
+                at, stop = name_before(j), end_of(j, end)
+                if kinds[at] == "id" or kinds[at].isalpha():
+                    if kinds[j] == "(" and at >= i:
+                        id_ = x.symbol("callable", word(at), container, label, t.start[first], t.end[at], t.end[stop], **props)
+                        calls(close.get(j, j), stop, id_)
+                    elif kinds[j] in ("{", "=>") and at > i and k != "event":
+                        calls(j, stop, x.symbol("property", word(at), container, label, t.start[first], t.end[at], t.end[stop], **props))
+                    elif kinds[j] in ("=", ";") and at > i:
+                        calls(j, stop, x.symbol("field", word(at), container, label, t.start[first], t.end[at], t.end[stop], **props))
+                i = stop + 1
+            else:
+                i = max(i, start) + 1
+
+    walk(0, n, x.file, "", None)
+
+
 def extract(repo: str, path: str, content: str | None) -> list[dict]:
     """The fact rows of one file."""
     language = language_of(path)
-    if language not in ("typescript", "javascript", "elixir"):
+    if language is None:
         return []
     x = Extraction(repo, path, content or "", language)
     if content:
-        (_elixir if language == "elixir" else _ecma)(x, LEX[language](content))
+        {"elixir": _elixir, "csharp": _csharp}.get(language, _ecma)(x, LEX[language](content))
     rows = list(x.rows.values())
     if x.partial:
         x.add("warning", f"warn:{_digest(path)}", kind="plugin.partial-result")

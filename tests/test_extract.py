@@ -1,3 +1,4 @@
+import json
 from factloom.sources import extract as x
 
 TS = """import def, { a } from './x';
@@ -91,3 +92,49 @@ def test_partial_and_awkward(spark):
 def test_columns_count_utf16_units():
     f = rows("a.js", "/* \U0001f600 */ function f() { }")
     assert next(r["start_col"] for r in f if r["fact"] == "declaration") == 10
+
+
+CSHARP = """using System;
+using Json = System.Text.Json;
+namespace A.B;
+
+/// <summary>Keeps <c>things</c>.</summary>
+[Serializable]
+public sealed partial class Store<T> : Base<T>, IStore, Other.IMore where T : new()
+{
+    private readonly Dictionary<string, (int a, int b)> _map = new Dictionary<string, (int a, int b)>();
+    public int Count { get; private set; } = Start();
+    public string Name => Render(1);
+    public Store(int size) : base(size) { Fill(); }
+    /// <summary>Adds one.</summary>
+    [Fact]
+    public async Task<int> AddAsync<U>(U item) where U : class
+    {
+        var x = new Item(item);
+        return await Send(x);
+    }
+    interface IInner : IDisposable { void Close(); }
+    enum Color { Red, Green = 2 }
+    public delegate int Maker(int x);
+}
+public record struct Point(int X, int Y);
+"""
+
+
+def test_csharp():
+    rows = x.extract("r", "src/Store.cs", CSHARP)
+    nodes = {(r["kind"], r["qualified_name"]) for r in rows if r["fact"] == "node" and r["symbol_id"]}
+    assert nodes == {
+        ("type", "A.B.Store"), ("field", "A.B.Store._map"), ("property", "A.B.Store.Count"), ("property", "A.B.Store.Name"), ("callable", "A.B.Store.Store"), ("callable", "A.B.Store.AddAsync"),
+        ("interface", "A.B.Store.IInner"), ("callable", "A.B.Store.IInner.Close"), ("type", "A.B.Store.Color"), ("field", "A.B.Store.Color.Red"), ("field", "A.B.Store.Color.Green"), ("type", "A.B.Store.Maker"), ("type", "A.B.Point"),
+    }
+    of = {r["qualified_name"]: json.loads(r["properties"]) for r in rows if r["fact"] == "node" and r["symbol_id"]}
+    assert of["A.B.Store"] == {"access": "public", "doc-summary": "Keeps things ."} and of["A.B.Store.IInner.Close"] == {"access": "public"}
+    assert of["A.B.Store.AddAsync"] == {"access": "public", "doc-summary": "Adds one.", "test-method": "true"} and of["A.B.Store._map"] == {"access": "private"}
+    named = {r["id"]: r["qualified_name"] for r in rows if r["fact"] == "node"}
+    edges = {(r["kind"], named[r["source_id"]], named[r["target_id"]]) for r in rows if r["fact"] == "edge" and r["kind"] not in ("declares", "contains")}
+    assert {y for y in edges if y[0] in ("inherits", "implements")} == {("inherits", "A.B.Store", "Base"), ("implements", "A.B.Store", "IStore"), ("implements", "A.B.Store", "Other.IMore"), ("inherits", "A.B.Store.IInner", "IDisposable")}
+    assert {y[1:] for y in edges if y[0] == "invokes-name"} == {("A.B.Store._map", "Dictionary"), ("A.B.Store.Count", "Start"), ("A.B.Store.Name", "Render"), ("A.B.Store.Store", "Fill"), ("A.B.Store.AddAsync", "Item"), ("A.B.Store.AddAsync", "Send")}
+    assert {y[2] for y in edges if y[0] == "imports"} == {"System", "System.Text.Json"}
+    for end in range(0, len(CSHARP), 7):  # what breaks off is never an error
+        x.extract("r", "a.cs", CSHARP[:end])

@@ -105,15 +105,25 @@ def _gate(named: Column, odd: Column, local: Column) -> Column:
     )
 
 
+def natural(place: Column) -> Column:
+    """The order of places: by path, then by line and column as numbers."""
+    parts = F.split(place, ":")
+    return F.struct(F.get(parts, F.lit(0)).alias("path"), F.get(parts, F.lit(1)).try_cast("bigint").alias("line"), F.get(parts, F.lit(2)).try_cast("bigint").alias("col"), place.alias("text"))
+
+
 def _capped(df: DataFrame, order: list[str], most: int) -> DataFrame:
     """The first rows of each target in a canonical order, with ``over``: whether the target has more."""
-    w = Window.partitionBy("target").orderBy(*order)
+    w = Window.partitionBy("target").orderBy(*[natural(F.col(c)) if c == "place" else F.col(c) for c in order])
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most + 1).withColumn("over", F.max(F.col("_n") > most).over(Window.partitionBy("target"))).where(F.col("_n") <= most).drop("_n")
 
 
 def interface_impact(targets: DataFrame, imports: DataFrame, reexports: DataFrame, contexts: DataFrame, locals_: DataFrame, exports: DataFrame, attributions: DataFrame, heritage: DataFrame) -> Impact:
     """The impact of each target."""
-    once = lambda df: df.dropDuplicates(["repo_id", "id"])
+    def once(df: DataFrame) -> DataFrame:
+        """One row per id: of several the least."""
+        rest = [c for c in df.columns if c not in ("repo_id", "id")]
+        return df.groupBy("repo_id", "id").agg(F.min(F.struct(*rest)).alias("_x")).select("repo_id", "id", *[F.col(f"_x.{c}").alias(c) for c in rest])
+
     imports, reexports, contexts, attributions, heritage = map(once, (imports, reexports, contexts, attributions, heritage))
     names = cut(associated_names(targets, attributions, reexports))
     known = names.select("target", "repo_id", "name").distinct()
@@ -152,7 +162,7 @@ def interface_impact(targets: DataFrame, imports: DataFrame, reexports: DataFram
     steps = F.array_compact(F.array("heritage_id", "id", F.when(via_import, F.col("import_id")), F.when(via_import, F.col("entry_id")), F.when(via_import, F.col("attribution_id")), "record_id"))
     witness = F.concat(F.lit(f"{POLICY}:"), F.sha2(F.to_json(F.concat(steps, F.array("target", F.lit(POLICY)))), 256))
     each = sure.select("target", "repo_id", "owner_id", "owner_name", "record_id", "route", "place", "origins", steps.alias("steps"), witness.alias("witness"))
-    first = F.min(F.struct("place", "route", "witness", "steps", "owner_name")).alias("f")
+    first = F.min(F.struct(natural(F.col("place")).alias("n"), "place", "route", "witness", "steps", "owner_name")).alias("f")
     grouped = each.groupBy("target", "repo_id", "owner_id", "record_id").agg(first, F.sort_array(F.collect_set("witness")).alias("witnesses"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("origins")))).alias("origins"))
     confirmed = _capped(grouped.select("target", "repo_id", "owner_id", "f.owner_name", "record_id", "f.place", "f.route", "f.steps", "witnesses", "origins"), ["place", "owner_name", "owner_id", "record_id"], MAX_CONFIRMED)
 

@@ -98,6 +98,8 @@ class GraphStore:
         if had is None:
             publication = self.publication(repo)
             had = {"repo_id": repo, "run_id": run, "status": "Running", "plugins": sorted(set(plugins)), "baseline": publication and publication["id"], "started_at": time.time()}
+            if status == "Completed":  # only complete() ends a run so
+                raise StoreError("run.transition.invalid", f"none to {status}")
             if status != "Running":
                 had |= {"status": status, "completed_at": time.time()}
         elif had["status"] == status:
@@ -123,10 +125,22 @@ class GraphStore:
     # Staging.
 
     def stage(self, repo: str, run: str, units: DataFrame, nodes: DataFrame, declarations: DataFrame, edges: DataFrame) -> None:
-        """Replacements of whole units: all their facts. A later one of the same unit takes its place."""
+        """Replacements of whole units: all their facts. A later one of the same unit takes its place.
+
+        Units of another repository or of a plugin that is not of the run (null counts as such), and
+        facts that break a rule of their own (evidence, limits of properties, one id twice in a
+        unit), are rejected here; rules between facts are checked when the run is completed.
+        """
         had = self._running(repo, run, "replacement")
-        if not units.where((F.col("repo_id") != repo) | ~F.col("plugin_id").isin(*had["plugins"], "")).isEmpty():
+        mine = F.col("repo_id").eqNullSafe(F.lit(repo)) & F.coalesce(F.col("plugin_id").isin(*had["plugins"]), F.lit(False))
+        if not units.where(~mine).isEmpty():
             raise StoreError("replacement.plugin.not-in-run", run)
+        own = [merge.duplicates(df, fact) for df, fact in ((nodes, "node"), (declarations, "declaration"), (edges, "edge"))] + [merge.property_limits(df, fact) for df, fact in ((nodes, "node"), (declarations, "declaration")) if "properties" in df.columns]
+        if "ev_quality" in edges.columns:
+            own.append(merge.evidence_rules(edges))
+        found = [tuple(r) for r in merge.first_violations(reduce(DataFrame.unionByName, own)).collect()]
+        if found:
+            raise StoreError(found[0][2], run, found)
         at = f"{self._staging(repo, run)}/{time.time_ns():020d}-set"
         for name, df in zip(TABLES, (units, nodes, declarations, edges)):
             df.write.parquet(f"{at}/{name}")
@@ -150,9 +164,23 @@ class GraphStore:
         """The tables of a publication; they do not change, whatever is published later."""
         return {t: self.spark.read.parquet(f"{publication['folder']}/{t}") for t in TABLES}
 
-    def complete(self, repo: str, run: str, snapshot: str | None = None, consistent: bool = True) -> dict:
-        """Publishes what the run staged on top of its baseline, if that is still the latest and the graph is whole."""
+    def pinned(self, publication: dict) -> dict[str, DataFrame]:
+        """The tables of a publication for a view that must be of the latest one; an error if another has been published since."""
+        latest = self.publication(publication["repo_id"])
+        if (latest and latest["id"]) != publication["id"]:
+            raise StoreError("publication.moved", publication["id"])
+        return self.read(publication)
+
+    def complete(self, repo: str, run: str, snapshot: str | None = None, consistent: bool = True, incomplete: DataFrame | None = None) -> dict:
+        """Publishes what the run staged on top of its baseline, if that is still the latest and the graph is whole.
+
+        incomplete: units of the run that ingestion still holds (:func:`streaming.ingest.incomplete`);
+        with any, the run is not completed.
+        """
         had = self._running(repo, run, "completion")
+        held = incomplete and incomplete.orderBy(*incomplete.columns).first()
+        if held:
+            raise StoreError(held["code"], run, [tuple(held)])
         latest = self.publication(repo)
         if (latest and latest["id"]) != had["baseline"]:
             raise StoreError("completion.baseline.superseded", run)
@@ -183,9 +211,7 @@ class GraphStore:
         return published
 
     def _rules(self, t: dict[str, DataFrame]) -> DataFrame:
-        n, d, e = t["nodes"], t["declarations"], t["edges"]
-        parts = [merge.duplicates(n, "node"), merge.duplicates(e, "edge"), merge.conflicts(n, "node"), merge.conflicts(e, "edge"), merge.duplicate_symbols(n), merge.missing_symbols(d, n), merge.missing_endpoints(e, n)]
-        return reduce(DataFrame.unionByName, parts)
+        return merge.violations(t["nodes"], t["declarations"], t["edges"])
 
     def _identity(self, repo: str, units: DataFrame, snapshot: str | None, consistent: bool) -> str:
         src = F.struct("plugin_id", "plugin_version", F.col("source_path").alias("path"), F.col("source_hash").alias("hash"))

@@ -94,3 +94,29 @@ def test_snapshot_round_trip_and_tampering(spark, store, tmp_path):
     assert again["identity"] == first["identity"] and ids(other) == ["a", "b"]
     with pytest.raises(s.StoreError, match="hash.mismatch"):
         other.import_(text.replace('\\"a\\"', '\\"z\\"'), "y")
+
+
+def test_what_staging_and_completion_reject(spark, store):
+    with pytest.raises(s.StoreError, match="run.transition.invalid"):
+        store.store_run("r", "0", "Completed")
+    store.store_run("r", "1", plugins=("p",))
+    units, nodes, decl, edges = facts(spark, "u", ["a", "b"])
+    with pytest.raises(s.StoreError, match="replacement.plugin.not-in-run"):
+        store.stage("r", "1", spark.createDataFrame([(None, "p", "u", "1", None, None)], UNITS), nodes, decl, edges)
+    guess = spark.createDataFrame([("r", "p", "u", "e", "a", "b", "calls", "Inferred", "x", None, 0.5)], EDGES)
+    with pytest.raises(s.StoreError, match="edge.evidence.calls-requires-resolved"):
+        store.stage("r", "1", units, nodes, decl, guess)
+    twice = nodes.unionByName(spark.createDataFrame([("r", "p", "u", "a", "type", "other", "a", "s:a", None, None, None)], NODES))
+    with pytest.raises(s.StoreError, match="replacement.node.duplicate"):
+        store.stage("r", "1", units, twice, decl, edges)
+    store.stage("r", "1", units, nodes, decl, edges)
+    held = spark.createDataFrame([("r", "1", "p", "u9", "ingestion.index-unit.incomplete")], "repo_id string, run_id string, plugin_id string, unit_id string, code string")
+    with pytest.raises(s.StoreError, match="ingestion.index-unit.incomplete"):
+        store.complete("r", "1", incomplete=held)
+    first = store.complete("r", "1", incomplete=held.limit(0))
+    assert store.pinned(first)["nodes"].count() == 2
+    store.store_run("r", "2", plugins=("p",))
+    store.stage("r", "2", *facts(spark, "v", ["c"]))
+    store.complete("r", "2")
+    with pytest.raises(s.StoreError, match="publication.moved"):
+        store.pinned(first)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.lexers import ECMA_KEYWORDS, ECMA_NAMES, LEX, Tokens, language_of
+from ..session import importable
 
 COLUMNS = ("repo_id", "plugin_id", "unit_id", "fact", "id", "kind", "name", "qualified_name", "symbol_id", "source_id", "target_id", "ev_quality", "path", "start_line", "start_col", "end_line", "end_col", "properties")
 SCHEMA = ", ".join(f"{c} {'int' if c.endswith(('_line', '_col')) else 'string'}" for c in COLUMNS)
@@ -531,6 +532,7 @@ def extract(repo: str, path: str, content: str | None) -> list[dict]:
 
 def facts(files: DataFrame) -> DataFrame:
     """Fact rows (COLUMNS) of files (repo_id, path, content as text), each distinct file once."""
+    importable(files.sparkSession)
     types = pa.schema([(c, pa.int32() if c.endswith(("_line", "_col")) else pa.string()) for c in COLUMNS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import importable
+
 #: The single-byte encodings considered, the first one winning ties.
 CODECS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "cp866", "koi8-r", "mac-roman", "iso8859-2", "iso8859-5", "iso8859-7", "iso8859-9")
 LOST = "�"
@@ -397,6 +399,7 @@ def model(df: DataFrame, text: str) -> Model:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at].astype(np.int64))], names=["at", "n"])
 
+    importable(df.sparkSession)
     _, _, k = reduced()
     counts = np.zeros(k * k + SHAPES * SHAPES)
     for row in df.select(text).mapInArrow(run, "at int, n bigint").groupBy("at").sum("n").collect():
@@ -412,6 +415,7 @@ def wrongly_decoded(df: DataFrame, key: str, text: str, trained: Model | None =
     and ASCII texts are no cases. Repeated rows keep their rows; other columns are ignored.
     """
     spark = df.sparkSession
+    importable(spark)
     shared = spark.sparkContext.broadcast(trained or model(df, text))  # one matrix over a fixed alphabet
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexers import LEX, Tokens, language_of
-from ..session import cut
+from ..session import cut, importable
 
 # Conventions of paths, in lower case.
 VENDORED_DIRECTORIES = ("node_modules", "bower_components", "jspm_packages", "vendor", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "external", "externals", "deps", "pods", "site-packages")
@@ -323,6 +323,7 @@ def declared(files: DataFrame, attributes: DataFrame) -> DataFrame:
     attributes: (repo_id, path, content) of attribute files. A file meets only the attribute files
     of its own directories; one that holds for many files is applied to CHUNK of them at a time.
     """
+    importable(files.sparkSession)
     base = F.regexp_replace(F.translate("path", "\\", "/"), r"[^/]*$", "")
     own = attributes.select("repo_id", base.alias("base"), "content").groupBy("repo_id", "base").agg(F.max("content").alias("content"))
     parts = F.split(F.translate("path", "\\", "/"), "/")

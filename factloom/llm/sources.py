@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, importable
 from . import docs, origin, validity
 from ..functions.lexers import LEX, language_of
 
@@ -53,6 +53,7 @@ def examine(files: DataFrame, kinds: bool = True, functions: bool = True) -> Dat
             columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.list_(pa.list_(pa.string()))), pa.array([r[3] for r in rows], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, pa.array(pairs, _PAIRS), pa.array(kept, pa.string())], names=["file_id", "repo_id", "path", "language", "kinds", "said", "invalid", "functions", "content"])
 
+    importable(files.sparkSession)
     return files.select("file_id", "repo_id", "path", "content").mapInArrow(run, OUT.format(id=files.schema["file_id"].dataType.simpleString()))
 
 
